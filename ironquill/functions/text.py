@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .regex import WHITESPACE
+from .sqltext import any_contains
 
 # Dotted and dotless i, long s and the Kelvin sign.
 CASE_TWINS = "".join(chr(c) for c in (0x130, 0x131, 0x17F, 0x212A))
@@ -32,12 +33,9 @@ def fold(col: Column) -> Column:
         F.lower(F.translate(col, CASE_TWINS, "iisk")))
 
 
-def contains_any(col: Column, needles) -> Column:
-    test = F.lit(False)
-    for i, n in enumerate(dict.fromkeys(needles)):
-        hit = F.contains(col, F.lit(n))
-        test = hit if i == 0 else test | hit
-    return test
+def contains_any(name: str, needles) -> Column:
+    """True if the column ``name`` holds one of the needles."""
+    return F.expr(any_contains(f"`{name}`", needles))
 
 
 def redact(col: Column) -> Column:

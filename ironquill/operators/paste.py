@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.regex import jvm
+from ..functions.sqltext import case, quote
 from ..functions.text import redact_entropy, shannon_entropy, two_decimals
 from ..rules.literal_rules import (
     ENTROPY_CVSS, ENTROPY_FIX, ENTROPY_MIN_CHARS, ENTROPY_THRESHOLD, ENTROPY_TITLE, ENTROPY_TOKEN_REGEX,
@@ -23,12 +24,15 @@ def _finding(title, match, severity, description, fix, cvss, rule_ord, match_pos
     return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(FIELDS, values)])
 
 
-def _literal_hits(lower: Column, rules) -> Column:
-    """Array of one finding per rule whose literal occurs in the text."""
-    return F.array_compact(F.array(*[
-        F.when(F.contains(lower, F.lit(r.literal.lower())),
-               _finding(r.title, r.literal, r.severity, r.description, r.fix, r.cvss, i, F.lit(0)))
-        for i, r in enumerate(rules)]))
+def _literal_hits(rules) -> Column:
+    """Array of one finding per rule whose literal occurs in ``_lower``."""
+    hits = []
+    for i, r in enumerate(rules):
+        values = (quote(r.title), quote(r.literal), quote(r.severity), quote(r.description), quote(r.fix), "'N/A'",
+                  f"{r.cvss}D", str(i), "0")
+        fields = ", ".join(f"'{n}', {v}" for n, v in zip(FIELDS, values))
+        hits.append(case([(f"contains(_lower, {quote(r.literal.lower())})", f"named_struct({fields})")], "NULL"))
+    return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
 def _entropy_hits(text: Column, threshold: float, rule_ord: int) -> Column:
@@ -56,7 +60,7 @@ def _explode(texts: DataFrame, hits: Column) -> DataFrame:
 
 
 def literal_rule_match(texts: DataFrame, rules=LITERAL_RULES) -> DataFrame:
-    return _explode(texts, _literal_hits(F.col("_lower"), rules))
+    return _explode(texts, _literal_hits(rules))
 
 
 def entropy_secrets(texts: DataFrame, threshold: float = ENTROPY_THRESHOLD, rules=LITERAL_RULES) -> DataFrame:
@@ -69,5 +73,5 @@ def analyze_text(texts: DataFrame, rules=LITERAL_RULES, threshold: float = ENTRO
     The two kinds never share a match, so no exchange is needed to
     deduplicate: each is already unique within its text.
     """
-    return _explode(texts, F.concat(_literal_hits(F.col("_lower"), rules),
+    return _explode(texts, F.concat(_literal_hits(rules),
                                     _entropy_hits(F.col("text"), threshold, len(rules))))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEVERITIES, contains_any, first_match
+from ..functions.sqltext import any_contains
+from ..functions.text import SEVERITIES, first_match
 from ..rules.compliance_rules import LEGACY_WEIGHTS, SCORE_BANDS, SCORE_FLOOR_LABEL, SCORE_WEIGHTS, SECRET_TERMS
 from .sliced import first_rows
 
@@ -125,8 +126,8 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 
 def is_secret(findings: DataFrame) -> Column:
-    cols = [F.coalesce(F.col(c), F.lit("")) for c in ("type", "category", "title") if c in findings.columns]
-    return contains_any(F.lower(F.concat_ws(" ", *cols)), SECRET_TERMS)
+    cols = [f"coalesce({c}, '')" for c in ("type", "category", "title") if c in findings.columns]
+    return F.expr(any_contains(f"lower(concat_ws(' ', {', '.join(cols)}))", SECRET_TERMS))
 
 
 def repo_health(findings: DataFrame, dep_findings: DataFrame, dep_counts: DataFrame,

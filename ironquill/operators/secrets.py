@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.regex import jvm
-from ..functions.text import basename, contains_any, fold, redact, severity_rank
+from ..functions.sqltext import any_contains, case, quote
+from ..functions.text import basename, fold, redact, severity_rank
 from ..rules.secret_rules import ENV_FILE_RULE, SECRET_RULES
 from ..sources.files import scan_files, src_lines
 
@@ -36,14 +37,13 @@ def secret_match(lines: DataFrame, rules=SECRET_RULES) -> DataFrame:
     rule's regex only runs on lines that hold one of its hints.
     """
     keys = [c for c in lines.columns if c != "text"]
-    lines = bind(lines, text=F.col("text"), _fold=fold(F.col("text")))
-    text, folded = F.col("text"), F.col("_fold")
     per_rule = []
     for i, r in enumerate(rules):
-        hit = F.struct(F.lit(i).alias("rule_ord"), F.lit(r.label).alias("label"),
-                       F.regexp_extract_all(text, F.lit(jvm(r.regex)), F.lit(0)).alias("raws"))
-        per_rule.append(F.when(contains_any(folded, r.hints), hit) if r.hints else hit)
-    found = lines.select(*keys, F.explode(F.array_compact(F.array(*per_rule))).alias("_h"))
+        hit = (f"named_struct('rule_ord', {i}, 'label', {quote(r.label)}, "
+               f"'raws', regexp_extract_all(text, {quote(jvm(r.regex))}, 0))")
+        per_rule.append(case([(any_contains("_fold", r.hints), hit)], "NULL") if r.hints else hit)
+    found = bind(lines, text=F.col("text"), _fold=fold(F.col("text"))).select(
+        *keys, F.expr(f"explode(array_compact(array({', '.join(per_rule)}))) AS _h"))
     return found.select(*keys, "_h.rule_ord", "_h.label", F.posexplode("_h.raws").alias("match_pos", "raw"))
 
 

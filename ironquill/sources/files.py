@@ -116,7 +116,7 @@ def src_lines(files: DataFrame, max_chars: int = MAX_LINE_CHARS, hints=None) ->
     """
     keys = [c for c in files.columns if c not in ("content", "size", "is_link")]
     if hints:
-        files = bind(files, _fold=fold(F.col("content"))).filter(contains_any(F.col("_fold"), hints))
+        files = bind(files, _fold=fold(F.col("content"))).filter(contains_any("_fold", hints))
     # No CR is left after unify_newlines, so one marks the last line.
     marked = F.concat(unify_newlines(F.col("content")), F.lit("\r"))
     lines = files.select(*keys, F.posexplode(F.split(marked, "\n")).alias("_pos", "_raw"))
@@ -126,5 +126,5 @@ def src_lines(files: DataFrame, max_chars: int = MAX_LINE_CHARS, hints=None) ->
         "text", F.when(last, F.replace("_raw", F.lit("\r"), F.lit(""))).otherwise(F.col("_raw")))
     if hints:
         lines = bind(lines, text=F.col("text"), _fold=fold(F.col("text"))).filter(
-            contains_any(F.col("_fold"), hints))
+            contains_any("_fold", hints))
     return lines.select(*keys, (F.col("_pos") + 1).alias("line"), "text")

@@ -54,15 +54,17 @@ def stream_rate_limit(requests: DataFrame, limits: DataFrame | None = None,
         ends_ms = (start + window_us) // 1000 + 1
         state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "ip": key[0], "bucket": key[1],
-                            "t": rows["t"].to_numpy(), "window_start": starts, "n": counts})
+                            "t": rows["t"].to_numpy(), "window_start": starts, "n": counts,
+                            "max_requests": rows["max_requests"].to_numpy()})
 
     limits = limits_table(requests.sparkSession) if limits is None else limits
     keyed = with_rate_key(requests.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", WATERMARK)
-    numbered = keyed.select("req_id", "ip", "bucket", "ts", F.unix_micros("ts").alias("t")).groupBy(
-        "ip", "bucket").applyInPandasWithState(
-        number, "req_id bigint, ip string, bucket string, t bigint, window_start bigint, n bigint",
+    rows = keyed.join(limits, "bucket", "left").select(
+        "req_id", "ip", "bucket", "ts", F.unix_micros("ts").alias("t"), "max_requests")
+    numbered = rows.groupBy("ip", "bucket").applyInPandasWithState(
+        number, "req_id bigint, ip string, bucket string, t bigint, window_start bigint, n bigint, max_requests int",
         "start bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    return verdicts(numbered.join(limits, "bucket", "left"), window_us)
+    return verdicts(numbered, window_us)
 
 
 def stream_usage_daily(requests: DataFrame) -> DataFrame:

@@ -102,22 +102,21 @@ VIEWS: dict[str, str] = {
                       CASE k % 13 WHEN 0 THEN '/.env' WHEN 1 THEN '/.env.local' WHEN 2 THEN '/.env.json'
                       WHEN 3 THEN '/Dockerfile' WHEN 4 THEN '.lock' WHEN 5 THEN '/.env.example'
                       WHEN 6 THEN '.JS' WHEN 7 THEN '.yml' ELSE '.py' END) AS path,
-               k % 97 = 0 AS is_link, cast(length(content) + CASE WHEN k % 89 = 0 THEN 600000 ELSE 0 END AS bigint) AS size,
-               content
-        FROM (SELECT k, c, concat(
-                {_pick('k % 31', _LINES)}, chr(10),
-                {_pick('(k * 7 + 3) % 31', _LINES)}, CASE WHEN k % 3 = 0 THEN concat(chr(13), chr(10)) ELSE chr(10) END,
-                {_pick('(k + c) % 31', _LINES)},
-                CASE WHEN k % 4 = 0 THEN concat(chr(13), {_pick('k % 31', _LINES)}) ELSE '' END,
-                CASE WHEN k % 5 = 0 THEN chr(10) ELSE '' END) AS content FROM v_lines_src) AS s""",
+               k % 97 = 0 AS is_link, cast(200 + k % 700 + CASE WHEN k % 89 = 0 THEN 600000 ELSE 0 END AS bigint) AS size,
+               concat(replace(JOIN_LIST(MAP_LIST(LIST(k % 31, (k * 7 + 3) % 31, (k + c) % 31,
+                                              CASE WHEN k % 4 = 0 THEN k % 31 ELSE 28 END),
+                                         LAMBDA_I {_pick('i', _LINES)}), chr(10)), chr(10),
+                                CASE k % 5 WHEN 0 THEN chr(13) WHEN 1 THEN concat(chr(13), chr(10)) ELSE chr(10) END),
+                      CASE WHEN k % 7 = 0 THEN chr(10) ELSE '' END) AS content
+        FROM v_lines_src""",
     "v_repos": """
         SELECT DISTINCT concat('repo-', cast(o_custkey % 50 AS string)) AS repo, o_custkey % 50 % 3 <> 0 AS is_pro,
                concat(CASE WHEN o_custkey % 50 % 4 = 0 THEN 'zip_upload/' ELSE 'https://github.com/acme/' END,
                       'repo-', cast(o_custkey % 50 AS string)) AS source FROM {orders}""",
     "v_snippets": f"""
-        SELECT concat('o', cast(k AS string)) AS text_id, concat(
-                 {_pick('k % 19', _SNIPPETS)}, chr(10), {_pick('(k * 5 + 2) % 19', _SNIPPETS)},
-                 CASE WHEN k % 3 = 0 THEN concat(chr(10), {_pick('(k + c) % 19', _SNIPPETS)}) ELSE '' END) AS text
+        SELECT concat('o', cast(k AS string)) AS text_id, JOIN_LIST(MAP_LIST(
+                 LIST(k % 19, (k * 5 + 2) % 19, CASE WHEN k % 3 = 0 THEN (k + c) % 19 ELSE 3 END),
+                 LAMBDA_I {_pick('i', _SNIPPETS)}), chr(10)) AS text
         FROM v_lines_src""",
     "v_texts": """
         SELECT concat('d', cast(doc_id AS string)) AS text_id, text FROM {documents}
@@ -131,7 +130,7 @@ VIEWS: dict[str, str] = {
     "v_manifests": """
         SELECT concat('repo-', cast(k % 50 AS string)) AS repo, concat(CASE WHEN k % 17 = 0 THEN 'node_modules/'
                  WHEN k % 5 = 0 THEN '' ELSE concat('svc', cast(k AS string), '/') END, manifest) AS path,
-               manifest, k % 101 = 0 AS is_link, cast(length(content) AS bigint) AS size, content
+               manifest, k % 101 = 0 AS is_link, cast(100 + k % 50 AS bigint) AS size, content
         FROM (SELECT k, CASE k % 6 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json'
                  WHEN 2 THEN 'package-lock.json' WHEN 3 THEN 'Pipfile.lock' WHEN 4 THEN 'Pipfile'
                  ELSE 'poetry.lock' END AS manifest,
@@ -306,8 +305,11 @@ VIEWS: dict[str, str] = {
         FROM {customer}""",
 }
 
-_TOKENS = {"spark": {"TO_US(ts)": "unix_micros(cast(ts AS timestamp))", "FROM_US(": "timestamp_micros("},
-           "duckdb": {"TO_US(ts)": "epoch_us(ts)", "FROM_US(": "make_timestamp("}}
+_TOKENS = {"spark": {"TO_US(ts)": "unix_micros(cast(ts AS timestamp))", "FROM_US(": "timestamp_micros(",
+                     "MAP_LIST(": "transform(", "JOIN_LIST(": "array_join(", "LAMBDA_I": "i ->", "LIST(": "array("},
+           "duckdb": {"TO_US(ts)": "epoch_us(ts)", "FROM_US(": "make_timestamp(",
+                      "MAP_LIST(": "list_transform(", "JOIN_LIST(": "array_to_string(", "LAMBDA_I": "lambda i:",
+                      "LIST(": "list_value("}}
 
 
 def with_views(sql: str, dialect: str, extra: dict[str, str] | None = None) -> str:
