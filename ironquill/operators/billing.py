@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..rules.plan_limits import (
     EV_ACTIVATED, EV_CANCELLED, EV_CAPTURE, EV_CHECKOUT, EV_FAILED, EV_MANUAL, EV_ORDER_CAPTURED, EV_RENEWED,
     EV_USER_CANCEL, TRIAL_DAYS)
@@ -61,12 +62,13 @@ def event_keys(events: DataFrame) -> DataFrame:
             .when(by_user, _given(r["custom_id"])))
     amount = (F.when(kind.isin(*EV_RENEWED), F.coalesce(_given(r["amount"]["total"]), r["amount"]["value"], F.lit("")))
               .when(kind == EV_CAPTURE, F.coalesce(r["amount"]["value"], F.lit(""))).otherwise(F.lit("")))
-    valid = (F.when(kind.isin(EV_ACTIVATED, EV_CHECKOUT), sub.isNotNull() & user.isNotNull())
-             .when(kind.isin(EV_CAPTURE, EV_ORDER_CAPTURED), order.isNotNull() & user.isNotNull())
-             .when(by_user, user.isNotNull()).otherwise(sub.isNotNull()))
-    flat = events.select("seq", "ts", "event_type", sub.alias("subscription_id"), order.alias("order_id"),
-                         user.alias("ref_user"), amount.alias("amount"), by_user.alias("by_user"))
-    return flat.filter(F.coalesce(valid, F.lit(False)))
+    flat = bind(events.select("seq", "ts", "event_type", "resource"), subscription_id=sub, order_id=order,
+                ref_user=user, amount=amount, by_user=by_user).drop("resource")
+    has_sub, has_order = F.col("subscription_id").isNotNull(), F.col("order_id").isNotNull()
+    has_user = F.col("ref_user").isNotNull()
+    return flat.filter(F.when(kind.isin(EV_ACTIVATED, EV_CHECKOUT), has_sub & has_user)
+                       .when(kind.isin(EV_CAPTURE, EV_ORDER_CAPTURED), has_order & has_user)
+                       .when(F.col("by_user"), has_user).otherwise(has_sub))
 
 
 def subscription_lookup(events: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,13 +84,13 @@ def subscription_lookup(events: DataFrame, users: DataFrame) -> tuple[DataFrame,
             named.join(holders, "subscription_id", "left_anti"))
 
 
-def routed_events(events: DataFrame, users: DataFrame, slice_unit: str = "day") -> DataFrame:
+def routed_events(events: DataFrame, users: DataFrame, slice_events: int = 1_000_000) -> DataFrame:
     """Events with the user they apply to at their place in the sequence.
 
     A user holds the subscription of their last activation before the event,
     or the one stored with them.  Activations and events of each (user,
     subscription) candidate pair are put in one sequence per user, in which the
-    held subscription is carried forward slice by slice.
+    held subscription is carried forward by slices of the sequence.
     """
     flat = event_keys(events)
     known = users.select(F.col("id").alias("user_id"))
@@ -100,14 +102,15 @@ def routed_events(events: DataFrame, users: DataFrame, slice_unit: str = "day")
              .unionByName(initial.filter(F.col("_initial").isNotNull()).select(
                  "user_id", F.col("_initial").alias("subscription_id"))).distinct())
     asked = flat.filter(~F.col("by_user")).drop("ref_user").join(pairs, "subscription_id")
-    line = grants.unionByName(asked, allowMissingColumns=True).withColumn("_slice", F.date_trunc(slice_unit, "ts"))
+    line = grants.unionByName(asked, allowMissingColumns=True).withColumn(
+        "_slice", F.floor(F.col("seq") / slice_events))
     carried = carry_last(line, ["user_id"], "_slice", "seq", "_held", "_now")
     holding = carried.filter(F.col("event_type").isNotNull()).join(initial, "user_id").filter(
         F.coalesce("_now", "_initial") == F.col("subscription_id"))
     # Two holders at once: the smallest user id answers, as in the lookup.
-    chosen = holding.groupBy("seq").agg(F.min("user_id").alias("user_id"))
-    sub_events = flat.filter(~F.col("by_user")).drop("ref_user").join(chosen, "seq")
-    return direct.unionByName(sub_events)
+    facts = ["ts", "event_type", "subscription_id", "order_id", "amount", "by_user"]
+    chosen = holding.groupBy("seq").agg(F.min("user_id").alias("user_id"), *[F.first(c).alias(c) for c in facts])
+    return direct.unionByName(chosen)
 
 
 def _updates() -> dict[str, Column]:

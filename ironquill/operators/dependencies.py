@@ -130,21 +130,28 @@ def eol_match(deps: DataFrame, eol: DataFrame, cve_findings: DataFrame) -> DataF
             .select(*keep, _eol_struct().alias("_f")).select(*keep, "_f.*"))
 
 
-def dependency_findings(deps: DataFrame, advisories: DataFrame | None = None,
-                        eol: DataFrame | None = None) -> DataFrame:
-    """Advisory and end-of-life findings of deduplicated packages in one pass.
+def checked_packages(deps: DataFrame, advisories: DataFrame | None = None,
+                     eol: DataFrame | None = None) -> DataFrame:
+    """Every package with its finding, if any, as a nullable struct.
 
-    A package yields at most one finding, so both small tables are looked up
-    side by side and no anti join over the findings is needed.
+    A package has at most one finding, so both small tables are looked up side
+    by side: no row multiplies and no anti join over the findings is needed.
     """
-    spark, keep = deps.sparkSession, _keep(deps)
+    spark = deps.sparkSession
     advisories = advisories_table(spark) if advisories is None else advisories
     eol = eol_table(spark) if eol is None else eol
-    known = _pinned(deps).join(advisories, "name", "left").join(eol, "name", "left")
+    known = (deps.withColumn("_v", version_parse(F.col("version"))).join(advisories, "name", "left")
+             .join(eol, "name", "left"))
     old = F.when(F.col("prefix").isNotNull() & _is_eol(), _eol_struct())
-    return (known.filter(F.col("advisories").isNotNull() | F.col("prefix").isNotNull())
-            .select(*keep, F.coalesce(_cve_struct(), old).alias("_f"))
-            .filter(F.col("_f").isNotNull()).select(*keep, "_f.*"))
+    found = F.when(F.col("version") != "", F.coalesce(F.when(F.col("advisories").isNotNull(), _cve_struct()), old))
+    return known.select(*deps.columns, found.alias("finding"))
+
+
+def dependency_findings(deps: DataFrame, advisories: DataFrame | None = None,
+                        eol: DataFrame | None = None) -> DataFrame:
+    """Advisory and end-of-life findings of deduplicated packages."""
+    return checked_packages(deps, advisories, eol).filter(F.col("finding").isNotNull()).select(
+        *_keep(deps), "finding.*")
 
 
 DEP_ORDER = ("priority", "path", "pos", "package")

@@ -40,12 +40,10 @@ def carry_last(df: DataFrame, keys, slice_col: str, order_col: str, value_col: s
     ``order_col`` must be unique within the keys and agree with ``slice_col``.
     """
     keys = list(keys)
-    per_slice = df.filter(F.col(value_col).isNotNull()).groupBy(*keys, slice_col).agg(
-        F.max_by(value_col, order_col).alias("_v"))
+    per_slice = df.groupBy(*keys, slice_col).agg(
+        F.max_by(value_col, F.when(F.col(value_col).isNotNull(), F.col(order_col))).alias("_v"))
     before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    slices = df.select(*keys, slice_col).distinct()
-    base = (_null_safe(slices, per_slice, [*keys, slice_col], "left")
-            .select(*keys, slice_col, F.last("_v", ignorenulls=True).over(before).alias("_base")))
+    base = per_slice.select(*keys, slice_col, F.last("_v", ignorenulls=True).over(before).alias("_base"))
     end = 0 if include_current else -1
     here = (Window.partitionBy(*keys, slice_col).orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, end))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SEVERITIES
 from ..operators.billing import subscription_state
 from ..operators.cve import cve_flatten, epss_enrich
-from ..operators.dependencies import DEP_ORDER, dedup_packages, dependency_count, dependency_findings
+from ..operators.dependencies import DEP_ORDER, checked_packages, dedup_packages, dependency_findings
 from ..operators.enrich import enrich
 from ..operators.paste import analyze_text
 from ..operators.reports import dep_risk_top20, exec_summary, recommendations, report_sections
@@ -16,9 +16,9 @@ from ..operators.scoring import (
     _clamped, _legacy, _points, _worst, free_tier_topk, is_secret, known_severity, owasp_coverage, score_band,
     severity_counts, truncation, union_findings)
 from ..operators.secrets import finding_order, secret_findings
+from ..session import keep_result
 from ..rules.compliance_rules import LEGACY_WEIGHTS, SCORE_WEIGHTS
 from ..rules.scan_limits import FREE_FINDINGS
-from ..rules.secret_rules import SE
 from ..sources.manifests import declared_packages
 from ..sources.files import src_manifests
 
@@ -52,13 +52,13 @@ def scan_report(files: DataFrame, repos: DataFrame, findings: DataFrame | None =
     """
     findings = secret_findings(files) if findings is None else findings
     deps = packages(files) if deps is None else deps
-    dep_found = dependency_findings(deps)
-    sev = F.col("severity")
+    checked = checked_packages(deps) if "finding" not in deps.columns else deps
+    sev, dep_sev = F.col("severity"), F.col("finding.severity")
     marks = union_findings(
         findings.select("repo", sev.alias("raw"), known_severity(sev).alias("sev"), F.lit(1).alias("own"),
                         is_secret(findings).cast("int").alias("secret")),
-        dep_found.select("repo", known_severity(sev).alias("sev"), F.lit(1).alias("dep")),
-        deps.select("repo", F.lit(1).alias("package")))
+        checked.select("repo", F.when(F.col("finding").isNotNull(), known_severity(dep_sev)).alias("sev"),
+                       F.col("finding").isNotNull().cast("int").alias("dep"), F.lit(1).alias("package")))
     agg = marks.groupBy("repo").agg(
         *severity_counts(F.col("raw")), F.sum("own").alias("total_secrets"),
         F.sum(F.when(F.col("sev").isNotNull(), _points(F.col("sev"), SCORE_WEIGHTS))).alias("_p"),
@@ -94,21 +94,23 @@ def cve_report(raw: DataFrame, epss: DataFrame) -> DataFrame:
     return epss_enrich(cve_flatten(raw), epss)
 
 
-def executive_report(files: DataFrame, repos: DataFrame, product: str = "security") -> dict[str, DataFrame]:
-    """The tables of the executive report; ``repos`` has ``repo, source, is_pro``."""
-    findings = scan_findings(files)
-    deps = packages(files)
-    dep_found = dependency_findings(deps)
-    summary = scan_report(files, repos, findings, deps)
-    secrets = findings.filter(F.lower("category") == SE.lower()).groupBy("repo").agg(
-        F.count(F.lit(1)).alias("secrets"))
+def executive_report(files: DataFrame, repos: DataFrame, product: str = "security",
+                     keep=keep_result) -> dict[str, DataFrame]:
+    """The tables of the executive report; ``repos`` has ``repo, source, is_pro``.
+
+    Six tables read the same findings, so ``keep`` stores those once.
+    """
+    findings = keep(report_sections(scan_findings(files)))
+    checked = keep(checked_packages(packages(files)))
+    dep_found = checked.filter(F.col("finding").isNotNull()).select("repo", "path", "priority", "pos", "finding.*")
+    summary = scan_report(files, repos, findings, checked)
+    secrets = findings.filter("in_secrets").groupBy("repo").agg(F.count(F.lit(1)).alias("secrets"))
     summary = (summary.join(secrets, "repo", "left").withColumn("secrets", F.coalesce("secrets", F.lit(0)))
                .withColumn("dep_findings", F.col("outdated_packages")))
-    sections = report_sections(findings)
     return {
         "summary": recommendations(exec_summary(summary), product),
-        "serious": sections.filter("in_serious"),
-        "secrets": sections.filter("in_secrets"),
+        "serious": findings.filter("in_serious"),
+        "secrets": findings.filter("in_secrets"),
         "dependencies": dep_risk_top20(dep_found, DEP_ORDER),
         "owasp": owasp_coverage(findings, "repo", ()),
         "shown": free_tier_topk(findings, finding_order(), repos),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,12 +19,17 @@ def build_session(app: str = "ironquill", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return df.checkpoint(eager=True)
+def keep_result(df: DataFrame) -> DataFrame:
+    """Compute once what several queries read.
+
+    In the folder that the cluster names in ``spark.checkpoint.dir`` if there is
+    one, so that a lost executor costs nothing; else cached, which Spark
+    recomputes where it is lost.
+    """
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is not None:
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

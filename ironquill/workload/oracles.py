@@ -127,32 +127,29 @@ HELP: dict[str, str] = {
                 trim(unnest(ls), ' ' || chr(13)) AS l FROM (SELECT repo, path, string_split(replace(content, chr(13), ''),
                 chr(10)) AS ls FROM o_manifest_files WHERE manifest = 'requirements.txt')))
                 WHERE l <> '' AND l[1] NOT IN ('#', '-') AND nm <> ''""",
-    "o_pkgjson": """SELECT repo, path, 'package.json' AS manifest, p, lower(name) AS name,
-                regexp_replace(json_extract_string(j, ['$."' || name || '"'])[1], '^[\\^~>=<\\s]+', '') AS version FROM (
-                SELECT repo, path, s * 1000 + unnest(range(len(json_keys(j)))) AS p, j, unnest(json_keys(j)) AS name FROM (
-                SELECT repo, path, 0 AS s, json_extract(content, '$.dependencies') AS j FROM o_manifest_files
-                WHERE manifest = 'package.json' AND json_valid(content) UNION ALL
-                SELECT repo, path, 1, json_extract(content, '$.devDependencies') FROM o_manifest_files
-                WHERE manifest = 'package.json' AND json_valid(content)))""",
-    "o_lock": """SELECT repo, path, 'package-lock.json' AS manifest, p, lower(string_split(key, 'node_modules/')[-1]) AS name,
-                json_extract_string(j, ['$."' || key || '".version'])[1] AS version FROM (
-                SELECT repo, path, unnest(range(len(json_keys(j)))) AS p, j, unnest(json_keys(j)) AS key FROM (
-                SELECT repo, path, json_extract(content, '$.packages') AS j FROM o_manifest_files
-                WHERE manifest = 'package-lock.json' AND json_extract(content, '$.packages') IS NOT NULL))
-                WHERE contains(key, 'node_modules/')
+    # A key may stand twice in the file, so the pairs are read from the text.
+    "o_pkgjson": """SELECT repo, path, 'package.json' AS manifest, p, lower(z[1]) AS name,
+                regexp_replace(z[2], '^[\\^~>=<\\s]+', '') AS version FROM (
+                SELECT repo, path, unnest(range(len(zs))) AS p, unnest(zs) AS z FROM (SELECT repo, path,
+                list_zip(regexp_extract_all(t, '"([^"]+)": "', 1), regexp_extract_all(t, '": "([^"]*)"', 1)) AS zs FROM (
+                SELECT repo, path, substr(content, strpos(content, '"dependencies"')) AS t FROM o_manifest_files
+                WHERE manifest = 'package.json' AND json_valid(content))))""",
+    "o_lock": """SELECT repo, path, 'package-lock.json' AS manifest, p, lower(string_split(e.key, 'node_modules/')[-1]) AS name,
+                e.value->>'$.version' AS version FROM (SELECT repo, path, unnest(range(len(es))) AS p, unnest(es) AS e FROM (
+                SELECT repo, path, map_entries(CAST(json_extract(content, '$.packages') AS MAP(VARCHAR, JSON))) AS es
+                FROM o_manifest_files WHERE manifest = 'package-lock.json'))
+                WHERE contains(e.key, 'node_modules/')
                 UNION ALL SELECT repo, path, 'package-lock.json', p, lower(name), version FROM (
                 SELECT repo, path, unnest(range(len(ps))) AS p, unnest(ps)[1] AS name, unnest(ps)[2] AS version FROM (
                 SELECT repo, path, list_zip(regexp_extract_all(replace(content, '"dependencies": ', ''),
                 '"([^"]+)": [{{]"version": "', 1), regexp_extract_all(content, '"version": "([^"]+)"', 1)) AS ps
                 FROM o_manifest_files WHERE manifest = 'package-lock.json'
                 AND json_extract(content, '$.packages') IS NULL))""",
-    "o_piplock": """SELECT repo, path, 'Pipfile.lock' AS manifest, p, lower(name) AS name, ltrim(version, '=') AS version FROM (
-                SELECT repo, path, p, name, json_extract_string(j, ['$."' || name || '".version'])[1] AS version FROM (
-                SELECT repo, path, s * 1000 + unnest(range(len(json_keys(j)))) AS p, j, unnest(json_keys(j)) AS name FROM (
-                SELECT repo, path, 0 AS s, json_extract(content, '$.default') AS j FROM o_manifest_files
-                WHERE manifest = 'Pipfile.lock' UNION ALL
-                SELECT repo, path, 1, json_extract(content, '$.develop') FROM o_manifest_files
-                WHERE manifest = 'Pipfile.lock'))) WHERE version <> ''""",
+    "o_piplock": """SELECT repo, path, 'Pipfile.lock' AS manifest, p, lower(e.key) AS name, ltrim(e.value->>'$.version', '=') AS version
+                FROM (SELECT repo, path, s * 1000 + unnest(range(len(es))) AS p, unnest(es) AS e FROM (
+                SELECT repo, path, s, map_entries(CAST(json_extract(content, m) AS MAP(VARCHAR, JSON))) AS es FROM o_manifest_files,
+                (VALUES (0, '$.default'), (1, '$.develop')) AS t(s, m) WHERE manifest = 'Pipfile.lock'))
+                WHERE e.value->>'$.version' <> ''""",
     "o_pipfile": """SELECT repo, path, 'Pipfile' AS manifest, p, replace(lower(m[1]), '_', '-') AS name,
                 CASE WHEN ltrim(m[2], '=~^<>') = '*' THEN '' ELSE ltrim(m[2], '=~^<>') END AS version FROM (
                 SELECT repo, path, p, [regexp_extract(l, '^([A-Za-z0-9_.-]+)\\s*=\\s*"', 1),
@@ -164,7 +161,7 @@ HELP: dict[str, str] = {
     "o_poetry": """SELECT repo, path, 'poetry.lock' AS manifest, p, lower(regexp_extract(b, '(?m)^name\\s*=\\s*"([^"]+)"', 1))
                 AS name, regexp_extract(b, '(?m)^version\\s*=\\s*"([^"]+)"', 1) AS version FROM (
                 SELECT repo, path, unnest(range(len(bs))) AS p, unnest(bs) AS b FROM (
-                SELECT repo, path, list_slice(string_split(content, '[[package]]'), 2, NULL) AS bs
+                SELECT repo, path, string_split(content, '[[package]]')[2:] AS bs
                 FROM o_manifest_files WHERE manifest = 'poetry.lock'))""",
     "o_parsed": " UNION ALL ".join(f"SELECT repo, path, manifest, p, name, version FROM {t}" for t in (
         "o_req", "o_pkgjson", "o_lock", "o_piplock", "o_pipfile", "o_poetry")),
@@ -327,7 +324,17 @@ def _fix_case(field: str) -> str:
 INJECTION = " OR ".join(f"regexp_matches(query, {q('(?i)' + r)})" for r in lr.INJECTION_REGEXES)
 DEP_COLS = "repo, title, type, category, package, version, severity, description, fix, cve, match"
 
+WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
+HELP["o_asked"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY rule_ord, match_pos) AS rn
+    FROM o_paste) WHERE rn <= 5 AND cve = 'N/A'"""
+HELP["o_best"] = f"""SELECT title, id, cvss_score FROM (SELECT DISTINCT title FROM o_asked) a JOIN o_cve c
+    ON list_has_all({WORDS.format('left(c.description, 500)')}, {WORDS.format('a.title')})
+    QUALIFY row_number() OVER (PARTITION BY title ORDER BY published DESC, id DESC) = 1""".replace(
+    "{L}", "{{L}}").replace("{N}", "{{N}}")
+
 RAW: dict[str, str] = {
+    "finding_cve_lookup": """SELECT text_id, a.title, match, b.id AS top_cve, b.cvss_score AS top_cvss
+        FROM o_asked a LEFT JOIN o_best b ON a.title = b.title""",
     "src_file_corpus": "SELECT repo, path, size, md5(content) AS content_md5 FROM o_scan",
     "src_lines": """SELECT repo, count(*) AS lines, sum(length(text))::BIGINT AS chars, max(line) AS max_line,
         min(md5(text)) AS min_md5 FROM o_all_lines GROUP BY repo""",

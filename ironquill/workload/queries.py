@@ -51,6 +51,10 @@ def joined(col: str | Column) -> Column:
     return F.array_join(col, " | ")
 
 
+def wide(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; a local one only if none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ironquill-")
@@ -752,3 +756,32 @@ def stream_subscription_state(spark, d):
     out = scratch(spark)
     streams.stream_subscription_state(nested, users(spark, d), out + "/state", out + "/check").awaitTermination()
     return spark.read.parquet(out + "/state/version=0")
+
+
+# ---- one width for counts and positions ----------------------------------------------------------------
+
+_WIDE = {
+    "src_lines": ("max_line",),
+    "src_cve_feed": ("n_references",),
+    "sink_append_log": ("metadata_chars",),
+    "secret_match": ("line", "match_pos",),
+    "dedup_matches": ("line", "match_pos",),
+    "sort_findings": ("line",),
+    "validate_text": ("chars",),
+    "usage_history": ("rank",),
+    "recent_scans": ("rank",),
+    "trial_status": ("days_left",),
+    "dep_risk_top20": ("rank",),
+    "free_tier_topk": ("line",),
+    "html_escape": ("chars_without_quote",),
+    "stream_secret_scan": ("line", "match_pos",),
+    "stream_audit_append": ("metadata_chars",),
+}
+
+
+def _widened(fn: Query, names) -> Query:
+    return lambda spark, d: wide(fn(spark, d), *names)
+
+
+for _n, _cols in _WIDE.items():
+    QUERIES[_n] = _widened(QUERIES[_n], _cols)

@@ -339,9 +339,12 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return settled(spark.sql(sql, **{b: spark.read.parquet(f"{folder}/{b}.parquet") for b in used}))
 
 
+BOUND = ("content", "text", "description", "event_type", "res_id", "custom_id", "path", "query", "plan")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Long derived texts count as stored columns: they are built once per row."""
-    return bind(df, **{c: df[c] for c in df.columns if c in ("content", "text", "description")})
+    return bind(df, **{c: df[c] for c in df.columns if c in BOUND})
 
 
 def duckdb_sql(sql: str, extra: dict[str, str] | None = None) -> str:
