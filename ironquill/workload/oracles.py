@@ -141,15 +141,18 @@ HELP: dict[str, str] = {
                 WHERE contains(e.key, 'node_modules/')
                 UNION ALL SELECT repo, path, 'package-lock.json', p, lower(name), version FROM (
                 SELECT repo, path, unnest(range(len(ps))) AS p, unnest(ps)[1] AS name, unnest(ps)[2] AS version FROM (
+                -- of two equal keys side by side the later replaces the earlier and what is nested in it
+                SELECT repo, path, CASE WHEN ps[1][1] = ps[3][1] THEN [ps[3]] ELSE ps END AS ps FROM (
                 SELECT repo, path, list_zip(regexp_extract_all(replace(content, '"dependencies": ', ''),
                 '"([^"]+)": [{{]"version": "', 1), regexp_extract_all(content, '"version": "([^"]+)"', 1)) AS ps
                 FROM o_manifest_files WHERE manifest = 'package-lock.json'
-                AND json_extract(content, '$.packages') IS NULL))""",
-    "o_piplock": """SELECT repo, path, 'Pipfile.lock' AS manifest, p, lower(e.key) AS name, ltrim(e.value->>'$.version', '=') AS version
-                FROM (SELECT repo, path, s * 1000 + unnest(range(len(es))) AS p, unnest(es) AS e FROM (
-                SELECT repo, path, s, map_entries(CAST(json_extract(content, m) AS MAP(VARCHAR, JSON))) AS es FROM o_manifest_files,
-                (VALUES (0, '$.default'), (1, '$.develop')) AS t(s, m) WHERE manifest = 'Pipfile.lock'))
-                WHERE e.value->>'$.version' <> ''""",
+                AND json_extract(content, '$.packages') IS NULL)))""",
+    "o_piplock": """SELECT repo, path, 'Pipfile.lock' AS manifest, p, lower(z[1]) AS name, ltrim(z[2], '=') AS version FROM (
+                SELECT repo, path, unnest(range(len(zs))) AS p, unnest(zs) AS z FROM (SELECT repo, path, list_zip(
+                regexp_extract_all(content, '"([^"]+)": [{{]"version": "', 1),
+                regexp_extract_all(content, '"version": "([^"]*)"', 1)) AS zs FROM (
+                SELECT repo, path, replace(replace(content, '"default": ', ''), '"develop": ', '') AS content
+                FROM o_manifest_files WHERE manifest = 'Pipfile.lock')))""",
     "o_pipfile": """SELECT repo, path, 'Pipfile' AS manifest, p, replace(lower(m[1]), '_', '-') AS name,
                 CASE WHEN ltrim(m[2], '=~^<>') = '*' THEN '' ELSE ltrim(m[2], '=~^<>') END AS version FROM (
                 SELECT repo, path, p, [regexp_extract(l, '^([A-Za-z0-9_.-]+)\\s*=\\s*"', 1),
@@ -218,7 +221,7 @@ HELP["o_scan_report"] = f"""SELECT *, {BAND.format('security_score')} AS score_r
     || total_secrets || ' findings and download the PDF report.' ELSE '' END AS upgrade_message FROM (
     SELECT r.repo, is_pro, source, CASE WHEN coalesce(total_secrets, 0) = 0 THEN 'NONE' WHEN critical > 0 THEN 'CRITICAL'
     WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-    greatest(0, 100 - coalesce(points, 0)) AS security_score, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high,
+    greatest(0, 100 - coalesce(points, 0))::BIGINT AS security_score, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high,
     coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(total_secrets, 0) AS total_secrets,
     coalesce(health_critical, 0) AS health_critical, coalesce(health_high, 0) AS health_high,
     coalesce(health_medium, 0) AS health_medium, coalesce(health_low, 0) AS health_low,

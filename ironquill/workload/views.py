@@ -129,7 +129,7 @@ VIEWS: dict[str, str] = {
         FROM {{part}}""",
     "v_manifests": """
         SELECT concat('repo-', cast(k % 50 AS string)) AS repo, concat(CASE WHEN k % 17 = 0 THEN 'node_modules/'
-                 WHEN k % 5 = 0 THEN '' ELSE concat('svc', cast(k AS string), '/') END, manifest) AS path,
+                 WHEN k % 5 = 0 THEN 'apps/' ELSE '' END, concat('svc', cast(k AS string), '/'), manifest) AS path,
                manifest, k % 101 = 0 AS is_link, cast(100 + k % 50 AS bigint) AS size, content
         FROM (SELECT k, CASE k % 6 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json'
                  WHEN 2 THEN 'package-lock.json' WHEN 3 THEN 'Pipfile.lock' WHEN 4 THEN 'Pipfile'
