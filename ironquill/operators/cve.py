@@ -78,10 +78,11 @@ def finding_cve_lookup(findings: DataFrame, cves: DataFrame, order, key: str = "
         F.coalesce(F.col("title") != "", F.lit(False)) & F.coalesce(F.col("cve") == "N/A", F.lit(True)))
     titles = asked.select("title").distinct().withColumn("_words", _words(F.col("title"))).withColumn(
         "_anchor", _longest(F.col("_words"))).filter(F.col("_anchor").isNotNull())
-    tokens = cves.select("id", "published", "cvss_score", "description", _words(F.col("description")).alias("_have"))
-    tokens = tokens.select("*", F.explode("_have").alias("_anchor"))
+    # Only (id, word) pairs are multiplied; the descriptions come back for the few that meet.
+    pairs = cves.select("id", F.explode(_words(F.col("description"))).alias("_anchor")).join(titles, "_anchor")
+    known = cves.select("id", "published", "cvss_score", _words(F.col("description")).alias("_have"))
     newest = F.struct(F.col("published"), F.col("id"))
-    best = (tokens.join(titles, "_anchor").filter(F.size(F.array_except("_words", "_have")) == 0)
+    best = (pairs.join(known, "id").filter(F.size(F.array_except("_words", "_have")) == 0)
             .groupBy("title").agg(F.max_by(F.struct("id", "cvss_score"), newest).alias("_b")))
     return asked.join(best, "title", "left").select(
         *findings.columns, F.col("_b.id").alias("top_cve"), F.col("_b.cvss_score").alias("top_cvss"))

@@ -33,3 +33,12 @@ def keep_result(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is not None:
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that is read in fewer pieces than there are cores.
+
+    A table with enough splits is left as it is: large inputs are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

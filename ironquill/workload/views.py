@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.bind import bind
+from ..session import spread
 from ..rules.advisories import ADVISORIES, EOL_PREFIXES
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -336,7 +337,9 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived view over the parquet tables in ``folder``."""
     sql = with_views(f"SELECT * FROM {name}", "spark")
     used = [b for b in BASE if "{" + b + "}" in sql]
-    return settled(spark.sql(sql, **{b: spark.read.parquet(f"{folder}/{b}.parquet") for b in used}))
+    wide = name in ("v_tree", "v_files", "v_texts", "v_snippets")
+    tables = {b: spark.read.parquet(f"{folder}/{b}.parquet") for b in used}
+    return settled(spark.sql(sql, **{b: spread(t) if wide else t for b, t in tables.items()}))
 
 
 BOUND = ("content", "text", "description", "event_type", "res_id", "custom_id", "path", "query", "plan")
