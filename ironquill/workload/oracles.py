@@ -344,7 +344,7 @@ RAW: dict[str, str] = {
     "src_manifests": "SELECT repo, path, manifest FROM o_manifest_files",
     "src_cve_feed": "SELECT id, published, description, cpes + 1 AS n_references FROM v_cve_flat",
     "src_epss_feed": "SELECT cve, epss FROM v_epss",
-    "src_tables": "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = 7 ORDER BY 1 LIMIT 20",
+    "src_tables": "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderdate >= TIMESTAMP '1998-01-01' ORDER BY 1",
     "sink_scan_results": """SELECT created_at::DATE::STRING AS scan_date, count(*) AS scans, sum(total_secrets)::BIGINT AS secrets
         FROM v_scans GROUP BY 1""",
     "sink_upsert_usage": "SELECT user_id, date::STRING AS date, request_count FROM v_usage",

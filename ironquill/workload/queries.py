@@ -164,7 +164,8 @@ def src_epss_feed(spark, d):
 @query
 def src_tables_query(spark, d):
     orders = src_tables(spark, d, "orders")
-    return orders.filter(F.col("o_custkey") == 7).select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(20)
+    since = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    return orders.filter(F.col("o_orderdate") >= since).select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
 
 
 QUERIES["src_tables"] = QUERIES.pop("src_tables_query")

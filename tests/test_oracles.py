@@ -61,5 +61,5 @@ def test_plans_keep_what_scale_needs(spark):
         text = plan(QUERIES[name](spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
     lookup = plan(QUERIES["src_tables"](spark, FOLDER))
-    assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]" in lookup
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in lookup
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in lookup
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in lookup
