@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ironquill.llm import toxicity
+from ironquill.llm.bpe import encoded
 from ironquill.llm.exact_dedup import exact_groups
 from ironquill.llm.mixing import replicate
-from ironquill.llm.shared import hexed, table, whole
+from ironquill.llm.shared import hexed, table
 from ironquill.llm.simhash import near_groups
 
 #: Shares of the mixture, in documents; the other sources share what is left.
 MIX_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.05, "src4": 0.02}
 
+#: The public vocabulary that documents are encoded with.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), F.col("_score").alias("score"),
+                        F.when(F.col("_score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+                        F.col("_ratio").alias("log_ratio"), F.col("_clear").alias("clear_ratio"))
+
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
@@ -24,6 +43,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoded(table(spark, sf_dir, "documents"), vocabulary_path())
+    return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2("_ids_le", 256).alias("ids_sha256"),
+                        hexed(F.col("_decoded")).alias("decoded_sha256"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document that the mixture holds, in global random order."""
     copies = replicate(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
@@ -32,8 +57,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_bpe_encoding": op9_bpe_encoding,
     "op10_source_mixing": op10_source_mixing,
 }
 
