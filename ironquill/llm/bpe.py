@@ -36,7 +36,7 @@ LEXICON_WORDS = 131_072
 _REMEMBERED = 300_000
 #: Distinct words that a task counts before it passes its counts on, and rows that it gives back at once.
 _COUNTED, _ROWS = 200_000, 256
-_HEAD = struct.Struct("<5Q")
+_HEAD = "<5Q"
 
 
 def byte_letters() -> list[str]:
@@ -188,7 +188,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     flat = np.fromiter(itertools.chain.from_iterable(entries[w] for w in words), "<u4")
     finals = bytes(s[0] for s in states)
     pad = lambda b: bytes(b) + b"\0" * (-len(b) % 8)
-    return (_HEAD.pack(len(states), len(labels), len(words), len(flat), root) + pad(labels) + pad(finals)
+    return (struct.pack(_HEAD, len(states), len(labels), len(words), len(flat), root) + pad(labels) + pad(finals)
             + np.array(first, "<u8").tobytes() + np.array(targets, "<u8").tobytes() + np.array(adds, "<u8").tobytes()
             + offsets.astype("<u8").tobytes() + flat.tobytes())
 
@@ -197,8 +197,8 @@ class Lexicon:
     """A compiled lexicon, mapped into memory or given as bytes."""
 
     def __init__(self, data: mmap.mmap | bytes):
-        states, arcs, words, ids, self.root = _HEAD.unpack_from(data)
-        at, view = _HEAD.size, memoryview(data)
+        states, arcs, words, ids, self.root = struct.unpack_from(_HEAD, data)
+        at, view = struct.calcsize(_HEAD), memoryview(data)
         self.data, self.labels = data, at
         at += arcs + -arcs % 8
         self.finals = at
