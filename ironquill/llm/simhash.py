@@ -86,7 +86,8 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "_fp", F.expr(f"shiftleft(_v._blank, {width}) | _v._rest").alias("_key"))
     meet = F.expr(f"a._key = b._key and a._fp < b._fp and bit_count(a._fp ^ b._fp) <= {max_bits} "
                   f"and shiftright(a._key, {width}) = {firsts}")
-    return index.alias("a").join(index.alias("b"), meet).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
+    # Spark knows the size of the fingerprints' file, not that 64 rows come of each: neither side may be broadcast.
+    return index.hint("merge").alias("a").join(index.alias("b"), meet).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
