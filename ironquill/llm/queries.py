@@ -11,8 +11,10 @@ from ironquill.llm import toxicity
 from ironquill.llm.bpe import encoded
 from ironquill.llm.exact_dedup import exact_groups
 from ironquill.llm.mixing import replicate
+from ironquill.llm.secret_scan import BASE_RULES, RULES, secret_spans, span_text
 from ironquill.llm.shared import hexed, table
 from ironquill.llm.simhash import near_groups
+from ironquill.llm.winnow import edited_likeness
 
 #: Shares of the mixture, in documents; the other sources share what is left.
 MIX_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.05, "src4": 0.02}
@@ -27,6 +29,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    base = found.withColumn("_base", F.expr(f"filter(_spans, x -> x.k < {len(BASE_RULES)})"))
+    counts = [F.expr(f"cast(size(filter(_base, x -> x.k = {n})) as long)").alias(f"n_{r.kind}") for n, r in enumerate(BASE_RULES)]
+    return base.select(F.col("_id").alias("doc_id"), *counts, hexed(span_text(F.col("_base"))).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
@@ -57,6 +70,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
@@ -64,9 +79,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
+def _span_sql() -> str:
+    """Spans of every rule: gaps and matches, numbered, with running sums of their lengths."""
+    parts = []
+    for n, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""
+            select doc_id, {n} as k, '{r.kind}' as kind, {r.least} as least, unnest(string_split_regex(t, '{pattern}')) as gap,
+                   unnest(regexp_extract_all(t, '{pattern}', 0)) as found, unnest(regexp_extract_all(t, '{pattern}', {r.group})) as part,
+                   generate_subscripts(string_split_regex(t, '{pattern}'), 1) as i
+            from text where regexp_matches(t, '{pattern}')""")
+    return " union all ".join(parts)
+
+
 _WEIGHTS = ", ".join(f"('{k}', {w}::double)" for k, w in MIX_WEIGHTS.items())
 
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": f"""
+        with text as (select doc_id, coalesce(text, '') as t from documents),
+        piece as ({_span_sql()}),
+        place as (select *, sum(length(gap) + coalesce(length(found), 0)) over (partition by doc_id, k order by i) as e from piece),
+        span as (select doc_id, k, kind, e - length(found) as s, e, kind || ':' || (e - length(found)) || ':' || e as one
+                 from place where found is not null and length(part) >= least),
+        row_of as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+                          coalesce(string_agg(one, ',' order by s, k) filter (k < 3), '') as base,
+                          string_agg(one, ',' order by s, k) as spans from span group by doc_id)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from text left join row_of using (doc_id)""",
     "op8_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
