@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in Spark expressions only.
 
-Every run of GRAM code points is hashed; of each WINDOW successive hashes the
-smallest is kept with its position, of equal ones the rightmost. Two texts
-that share a run of GRAM + WINDOW - 1 code points share a fingerprint.
+A text is read as tokens: runs of up to TOKEN code points without white space,
+so that a text without any has tokens too. Every run of GRAM tokens, with the
+white space in it, is hashed; of each WINDOW successive hashes the smallest is
+kept with its position, of equal ones the rightmost. Two texts that share
+GRAM + WINDOW - 1 tokens in a row share a fingerprint.
 """
 
 from __future__ import annotations
@@ -14,39 +16,34 @@ from pyspark.sql import functions as F
 
 from ironquill.llm.shared import hexed, whole
 
-GRAM = 12
-WINDOW = 16
-#: Code points whose hashes are held at once; a longer text is winnowed piece by piece, with equal results.
-PIECE = 2048
+TOKEN = 6
+GRAM = 3
+WINDOW = 4
 #: Low half of a mark: the complement of the position, so that of equal hashes the rightmost is the smallest.
 _LOW = 0xFFFFFFFF
 
 
-def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW, piece: int = PIECE) -> Column:
+def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Marks of a text in order of position: array of long, each a hash and a position (``mark_hash``, ``mark_place``).
 
-    A text shorter than ``gram`` is one run; one with fewer runs than
-    ``window`` has one window; an empty or null text has no marks.
+    A text of fewer than ``gram`` tokens is one run; one with fewer runs than
+    ``window`` has one window; an empty or null text has no marks. Memory
+    follows the longest text: some 50 bytes a code point.
     """
     text = F.coalesce(text, F.lit(""))
-    reach = gram + window - 2
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{piece + reach}}})).{{1,{piece}}}"), F.lit(1))
+    token = f"\\S{{1,{TOKEN}}}+"
+    run = r"\s*+".join([token] * gram)
+    found = F.regexp_extract_all(text, F.lit(f"(?=({run})){token}"), F.lit(1))
+    runs = F.when(F.size(found) > 0, found).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
-    def marks(part: Column, number: Column) -> Column:
-        runs = F.when((F.length(part) < gram) & (number == 0), F.array(part)).otherwise(
-            F.regexp_extract_all(part, F.lit(f"(?s)(?=(.{{{gram}}}))."), F.lit(1)))
-        first = number.cast("long") * piece
+    def pack(run: Column, at: Column) -> Column:
+        return F.xxhash64(run).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - at)
 
-        def pack(run: Column, at: Column) -> Column:
-            return F.xxhash64(run).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - first - at)
+    def least(h: Column) -> Column:
+        windows = F.greatest(F.size(h) - window + 1, F.least(F.size(h), F.lit(1)))
+        return F.array_distinct(F.slice(_least(h, window), F.lit(1), windows))
 
-        # A piece that is not the first has only the windows that are complete.
-        least = _let(F.transform(runs, pack), lambda h: _let(
-            F.greatest(F.size(h) - window + 1, F.when(number == 0, F.least(F.size(h), F.lit(1))).otherwise(0)),
-            lambda n: F.slice(_least(h, window), F.lit(1), n)))
-        return F.array_distinct(least)
-
-    return F.array_distinct(F.flatten(F.transform(pieces, marks)))
+    return _let(F.transform(runs, pack), least)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -61,7 +58,7 @@ def _least(values: Column, window: int) -> Column:
         step = min(done, window - done)
         out = _let(out, _pairwise(step))
         done += step
-    return F.slice(out, F.lit(1), F.size(values))
+    return out
 
 
 def _pairwise(step: int) -> Callable[[Column], Column]:
@@ -73,7 +70,7 @@ def mark_hash(mark: Column) -> Column:
 
 
 def mark_place(mark: Column) -> Column:
-    """Position of the run's first code point, from 0."""
+    """Position of the run's first token, from 0."""
     return F.lit(_LOW) - mark.bitwiseAND(F.lit(_LOW))
 
 

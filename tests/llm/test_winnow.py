@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 import xxhash
@@ -12,7 +13,8 @@ SEED = 42
 def marks(text, gram=W.GRAM, window=W.WINDOW):
     """(hash, place) by definition: the smallest of each window, rightmost of equal ones."""
     text = text or ""
-    runs = [text] if 0 < len(text) < gram else [text[i : i + gram] for i in range(len(text) - gram + 1)]
+    at = [m.span() for m in re.finditer(r"\S{1,%d}" % W.TOKEN, text)]
+    runs = [text[at[i][0] : at[i + gram - 1][1]] for i in range(len(at) - gram + 1)] or ([text] if text else [])
     signed = [xxhash.xxh64_intdigest(r.encode(), SEED) for r in runs]
     high = [((h if h < 1 << 63 else h - (1 << 64)) >> 32) for h in signed]
     out = []
@@ -28,18 +30,18 @@ TEXTS = ["", None, "a", "short", "x" * 11, "x" * 12, "ab" * 40, "the quick brown
          "🙂é日本" * 30, "".join(chr(97 + (i * i) % 26) for i in range(500)), "line\nbreaks\r\nand\ttabs " * 9]
 
 
-@pytest.mark.parametrize("piece", [7, 40, W.PIECE])
-def test_marks_match_the_definition(spark, piece):
+@pytest.mark.parametrize("window", [1, 2, 3, W.WINDOW, 9])
+def test_marks_match_the_definition(spark, window):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = rows.select("doc_id", F.transform(W.winnowed(F.col("text"), piece=piece), lambda m: F.struct(W.mark_hash(m).alias("h"), W.mark_place(m).alias("p"))).alias("m"))
+    got = rows.select("doc_id", F.transform(W.winnowed(F.col("text"), window=window), lambda m: F.struct(W.mark_hash(m).alias("h"), W.mark_place(m).alias("p"))).alias("m"))
     for row in got.collect():
-        assert [(x["h"], x["p"]) for x in row["m"]] == marks(TEXTS[row["doc_id"]]), TEXTS[row["doc_id"]]
+        assert [(x["h"], x["p"]) for x in row["m"]] == marks(TEXTS[row["doc_id"]], window=window), TEXTS[row["doc_id"]]
 
 
-def test_shared_run_is_always_found(spark):
-    """A shared run of GRAM + WINDOW - 1 code points shares a mark, whatever stands around it."""
-    shared = "".join(chr(97 + (i * 7 + i * i) % 26) for i in range(W.GRAM + W.WINDOW - 1))
-    for left, right in (("", ""), ("12345", "Q" * 90), ("zz" * 77, "")):
+def test_shared_run_is_always_found():
+    """GRAM + WINDOW - 1 shared tokens share a mark, whatever stands around them."""
+    shared = " ".join(f"w{i * i % 97}" for i in range(W.GRAM + W.WINDOW - 1))
+    for left, right in (("", ""), ("1 2 3 4 5 ", " Q" * 90), ("zz " * 77, "")):
         a, b = {h for h, _ in marks(left + shared)}, {h for h, _ in marks(shared + right)}
         assert a & b
 
