@@ -124,22 +124,22 @@ class Splitter:
         self.whole = None
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
 
-    def words(self, text: str) -> list[bytes | str]:
-        """Words as bytes; special tokens as text."""
+    def words(self, text: str) -> list[str]:
+        """Words and special tokens; no word looks like one of these."""
         if "<|" not in text:
             return self._cut(text)
         parts = self.special.split(text)
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self._cut(part))]
 
-    def _cut(self, text: str) -> list[bytes]:
+    def _cut(self, text: str) -> list[str]:
         if text.isascii() or self._PLAIN.fullmatch(text):
-            return [w.encode() for w in self.vocabulary.pattern.findall(text.lower())]
+            return self.vocabulary.pattern.findall(text.lower())
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.vocabulary.path)
         parts = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
-        return [bytes(map(self.bytes.__getitem__, w)) for w, _ in parts]
+        return [bytes(map(self.bytes.__getitem__, w)).decode() for w, _ in parts]
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -236,13 +236,14 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary, self.lexicon, self.splitter = vocabulary, lexicon, Splitter(vocabulary)
 
-    def __missing__(self, word: bytes | str) -> list[int]:
-        if isinstance(word, str):
+    def __missing__(self, word: str) -> list[int]:
+        if word in self.vocabulary.special:
             ids = [self.vocabulary.special[word]]
         else:
-            ids = self.lexicon.get(word) if self.lexicon else None
+            raw = word.encode()
+            ids = self.lexicon.get(raw) if self.lexicon else None
             if ids is None:
-                ids = self.vocabulary.merge(word)
+                ids = self.vocabulary.merge(raw)
         if len(self) >= _REMEMBERED:
             self.clear()
         self[word] = ids
@@ -259,17 +260,19 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text"
         splitter, counts = Splitter(Vocabulary.load(vocabulary_path)), Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
+            for word in splitter.vocabulary.special:
+                counts.pop(word, None)
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(w for w in splitter.words(text.as_py() or "") if isinstance(w, bytes))
+                counts.update(splitter.words(text.as_py() or ""))
                 if len(counts) > _COUNTED:
                     yield out()
                     counts.clear()
         yield out()
 
-    words = cut(docs.select(whole(text_col).alias("_text")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    words = cut(docs.select(whole(text_col).alias("_text")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     # Eighths of powers of two: at most some 500 rows.
     steps = words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
     total, least = 0, None
@@ -278,7 +281,7 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text"
         if total > most:
             break
         least = row["n"]
-    return [] if least is None else [bytes(r["w"]) for r in words.filter(F.col("n") >= least).select("w").collect()]
+    return [] if least is None else [r["w"].encode() for r in words.filter(F.col("n") >= least).select("w").collect()]
 
 
 def ship_lexicon(spark: SparkSession, data: bytes) -> str:
@@ -315,9 +318,10 @@ def encoded(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                ids = [np.array(encoder.encode(x.as_py()), "<i4") for x in part.column(len(carry))]
+                tokens = [encoder.encode(x.as_py()) for x in part.column(len(carry))]
+                ids = [np.array(x, "<i4") for x in tokens]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                decoded = pa.array([encoder.vocabulary.decode(x.tolist()) for x in ids], pa.string())
+                decoded = pa.array([encoder.vocabulary.decode(x) for x in tokens], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(carry)], lists, pa.array([x.tobytes() for x in ids], pa.binary()), decoded], [*carry, "_ids", "_ids_le", "_decoded"])
 
