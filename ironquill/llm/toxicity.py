@@ -38,8 +38,8 @@ CLEAR = 2.0
 _START, _END = "\x02", "\x03"
 _WORDS = regex.compile(r"\p{L}+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose scores a task remembers.
-_REMEMBERED = 300_000
+#: Words whose scores a task remembers, and rows whose words it holds at once.
+_REMEMBERED, _ROWS = 300_000, 128
 
 
 @dataclass
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = ToxicityModel(*shipped.value), {}
-        for batch in batches:
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             texts = [_WORDS.findall((x.as_py() or "").lower()) for x in batch.column(position)]
             new = list(set().union(*texts).difference(known))
             if len(known) + len(new) > _REMEMBERED:
