@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ironquill.llm import toxicity
+from ironquill.llm import html_extract, toxicity
 from ironquill.llm.bpe import encoded
 from ironquill.llm.exact_dedup import exact_groups
 from ironquill.llm.mixing import replicate
@@ -48,6 +48,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_ratio").alias("log_ratio"), F.col("_clear").alias("clear_ratio"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extracted(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_encoding": op9_bpe_encoding,
