@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ironquill.llm import html_extract, toxicity
+from ironquill.llm import html_extract, toxicity, warc
 from ironquill.llm.bpe import encoded
 from ironquill.llm.exact_dedup import exact_groups
+from ironquill.llm.license_scan import licenses
 from ironquill.llm.mixing import replicate
 from ironquill.llm.secret_scan import BASE_RULES, RULES, secret_spans, span_text
 from ironquill.llm.shared import hexed, table
@@ -58,6 +59,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -81,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_html_extraction": op4_html_extraction,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_source_mixing": op10_source_mixing,
