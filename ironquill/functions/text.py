@@ -94,10 +94,15 @@ def in_dirs(path: Column, dirs) -> Column:
 
 
 def version_parse(col: Column) -> Column:
-    """Every run of digits as a number; no digits at all give [0]."""
-    nums = F.transform(F.regexp_extract_all(col, F.lit(r"\p{Nd}+"), F.lit(0)), 
-                       lambda s: F.coalesce(s.try_cast("bigint"), F.lit(2**63 - 1)))
-    return F.when(F.size(nums) > 0, nums).otherwise(F.array(F.lit(0).cast("bigint")))
+    """Every run of digits as a number of any length (see ``number_key``); no digits at all give [0]."""
+    nums = F.transform(F.regexp_extract_all(col, F.lit(r"\p{Nd}+"), F.lit(0)), number_key)
+    return F.when(F.size(nums) > 0, nums).otherwise(F.array(number_key(F.lit("0"))))
+
+
+def number_key(digits: Column) -> Column:
+    """A number as its digits, which sort by how many there are and then as text."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.struct(F.char_length(bare).alias("digits"), bare.alias("number"))
 
 
 def cvss_severity(col: Column) -> Column:

@@ -12,24 +12,32 @@ from .sliced import first_rows
 WORDS = r"[^\p{L}\p{N}]+"
 
 
-def _first_metric() -> Column:
+#: Score lists of a record, in precedence order.
+METRICS = ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2")
+DESCRIPTION_CHARS = 500
+
+
+def _first_metric(metrics=METRICS) -> Column:
     m = F.col("cve.metrics")
-    lists = [m[v] for v in ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2")]
+    lists = [m[v] for v in metrics]
     return F.get(F.coalesce(*[F.when(F.size(v) > 0, v) for v in lists]), 0)["cvssData"]["baseScore"]
 
 
-def cve_flatten(raw: DataFrame, description_chars: int = 500) -> DataFrame:
-    """Nested feed documents -> one flat row per CVE."""
+def cve_flatten(raw: DataFrame, description_chars: int | None = DESCRIPTION_CHARS, metrics=METRICS) -> DataFrame:
+    """Nested feed documents -> one flat row per CVE.
+
+    Descriptions are cut for output; searches take them whole (None) and cut afterwards.
+    """
     cve = F.col("cve")
     matches = F.flatten(F.transform(cve["configurations"], lambda c: F.flatten(
         F.transform(c["nodes"], lambda n: n["cpeMatch"]))))
     affected = F.slice(F.transform(F.filter(matches, lambda m: m["vulnerable"]), lambda m: m["criteria"]), 1, 5)
     empty = F.array().cast("array<string>")
+    text = F.coalesce(F.get(cve["descriptions"], 0)["value"], F.lit(""))
     return raw.select(
-        cve["id"].alias("id"), _first_metric().alias("cvss_score"), cvss_severity(_first_metric()).alias("severity"),
+        cve["id"].alias("id"), _first_metric(metrics).alias("cvss_score"), cvss_severity(_first_metric(metrics)).alias("severity"),
         F.coalesce(cve["published"], F.lit("")).alias("published"),
-        F.substring(F.coalesce(F.get(cve["descriptions"], 0)["value"], F.lit("")), 1, description_chars).alias(
-            "description"),
+        (text if description_chars is None else F.substring(text, 1, description_chars)).alias("description"),
         F.coalesce(affected, empty).alias("affected_products"),
         F.concat(F.lit("Review the references for "), cve["id"],
                  F.lit(" and apply the vendor's recommended patch or upgrade affected packages to a "
@@ -52,12 +60,13 @@ def clean_query(query: str | None) -> str | None:
 
 
 def cve_keyword_search(cves: DataFrame, query: str, k: int = 3) -> DataFrame:
-    """The ``k`` newest CVEs whose description contains the query."""
+    """The ``k`` newest CVEs whose whole description contains the query; it is cut for output."""
     q = clean_query(query)
     if q is None:
         return cves.filter(F.lit(False))
     return (cves.filter(F.contains(F.lower("description"), F.lit(q.lower())))
-            .orderBy(F.col("published").desc(), "id").limit(k))
+            .orderBy(F.col("published").desc(), "id").limit(k)
+            .withColumn("description", F.substring("description", 1, DESCRIPTION_CHARS)))
 
 
 def _words(col: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import first_match, version_parse
+from ..functions.small import small_table
+from ..functions.text import first_match, number_key, version_parse
 from ..rules.advisories import ADVISORIES, EOL_PREFIXES
 from ..rules.scan_limits import MANIFESTS
 
@@ -22,8 +23,8 @@ def advisories_table(spark: SparkSession, advisories=ADVISORIES) -> DataFrame:
     by_name: dict[str, list] = {}
     for a in advisories:
         by_name.setdefault(a.name, []).append((a.max_version, a.severity, a.cve, a.description))
-    raw = spark.createDataFrame(
-        list(by_name.items()),
+    raw = small_table(
+        spark, list(by_name.items()),
         "name string, advisories array<struct<max_version:string,severity:string,cve:string,description:string>>")
     limit = F.transform("advisories", lambda a: F.struct(
         version_parse(a["max_version"]).alias("max_v"), a["max_version"].alias("max_version"),
@@ -32,7 +33,7 @@ def advisories_table(spark: SparkSession, advisories=ADVISORIES) -> DataFrame:
 
 
 def eol_table(spark: SparkSession, prefixes=EOL_PREFIXES) -> DataFrame:
-    return spark.createDataFrame([(n, list(p)) for n, p in prefixes], "name string, prefix array<bigint>")
+    return small_table(spark, [(n, list(p)) for n, p in prefixes], "name string, prefix array<bigint>")
 
 
 def manifest_priority(manifest: Column) -> Column:
@@ -112,7 +113,8 @@ def _eol_struct() -> Column:
 
 
 def _is_eol() -> Column:
-    return F.slice(F.col("_v"), F.lit(1), F.size("prefix")) <= F.col("prefix")
+    known = F.transform("prefix", lambda n: number_key(n.cast("string")))
+    return F.slice(F.col("_v"), F.lit(1), F.size("prefix")) <= known
 
 
 def advisory_match(deps: DataFrame, advisories: DataFrame) -> DataFrame:

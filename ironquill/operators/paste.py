@@ -59,6 +59,13 @@ def _explode(texts: DataFrame, hits: Column) -> DataFrame:
     return bind(texts, text=F.col("text"), _lower=F.lower("text")).select(*keys, F.inline(hits))
 
 
+def analyzed_texts(texts: DataFrame, rules=LITERAL_RULES, threshold: float = ENTROPY_THRESHOLD) -> DataFrame:
+    """Every text's keys with its findings as an array column ``hits``: one row per text, nothing is shuffled."""
+    keys = [c for c in texts.columns if c != "text"]
+    hits = F.concat(_literal_hits(rules), _entropy_hits(F.col("text"), threshold, len(rules)))
+    return bind(bind(texts, text=F.col("text"), _lower=F.lower("text")), hits=hits).select(*keys, "hits")
+
+
 def literal_rule_match(texts: DataFrame, rules=LITERAL_RULES) -> DataFrame:
     return _explode(texts, _literal_hits(rules))
 

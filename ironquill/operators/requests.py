@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.small import small_table
 from ..functions.regex import jvm
 from ..functions.text import first_match, html_escape, strip
 from ..rules.literal_rules import INJECTION_REGEXES
@@ -97,7 +98,7 @@ def validate_text(rows: DataFrame, text: str = "text", max_chars: int = MAX_TEXT
     """Strip the text, drop NULs, add ``ok`` and ``reason``."""
     value = strip(F.col(text))
     reason = (F.when(value == "", "Code text cannot be empty")
-              .when(F.char_length(value) > max_chars, "Input too large (max 50,000 chars)"))
+              .when(F.char_length(value) > max_chars, f"Input too large (max {max_chars:,} chars)"))
     return (rows.withColumn("reason", reason).withColumn(text, F.replace(value, F.lit("\x00"), F.lit("")))
             .withColumn("ok", F.col("reason").isNull()))
 
@@ -105,7 +106,7 @@ def validate_text(rows: DataFrame, text: str = "text", max_chars: int = MAX_TEXT
 # ---- rate limit ----------------------------------------------------------------
 
 def limits_table(spark: SparkSession, limits=None) -> DataFrame:
-    return spark.createDataFrame(sorted((limits or RATE_LIMITS).items()), "bucket string, max_requests int")
+    return small_table(spark, sorted((limits or RATE_LIMITS).items()), "bucket string, max_requests int")
 
 
 def with_rate_key(requests: DataFrame) -> DataFrame:

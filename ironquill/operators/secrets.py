@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.regex import jvm
+from ..functions.small import small_table
 from ..functions.sqltext import any_contains, case, quote
 from ..functions.text import basename, fold, redact, severity_rank
 from ..rules.secret_rules import ENV_FILE_RULE, SECRET_RULES
 from ..sources.files import scan_files, src_lines
 
-# Where a match stands in its file, packed into one sortable number.
-_POS_BITS, _RULE_BITS = 16, 12
+# Where a match stands in its file, packed into one sortable number: each part is an int, below this.
+_PART = 10**10
 
 
 def rule_hints(rules=SECRET_RULES):
@@ -24,8 +25,8 @@ def rule_hints(rules=SECRET_RULES):
 
 
 def rules_table(spark: SparkSession, rules=SECRET_RULES) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, r.label, r.regex, r.severity, r.description, r.fix, r.category) for i, r in enumerate(rules)],
+    return small_table(
+        spark, [(i, r.label, r.regex, r.severity, r.description, r.fix, r.category) for i, r in enumerate(rules)],
         "rule_ord int, label string, regex string, severity string, description string, "
         "fix string, category string")
 
@@ -51,17 +52,16 @@ def dedup_matches(matches: DataFrame, keys=("repo", "path")) -> DataFrame:
     """First place of each (file, label, raw match).
 
     The place is one packed number, so the shuffle carries hash-aggregated
-    partial minima instead of rows.
+    partial minima instead of rows.  It holds any three ints.
     """
-    place = (F.shiftleft(F.col("line").cast("bigint"), _POS_BITS + _RULE_BITS)
-             .bitwiseOR(F.shiftleft(F.col("rule_ord").cast("bigint"), _POS_BITS))
-             .bitwiseOR(F.col("match_pos").cast("bigint")))
+    place = F.expr(f"cast(line as decimal(10,0)) * {_PART}0000000000BD + cast(rule_ord as decimal(10,0)) * {_PART}BD "
+                   "+ cast(match_pos as decimal(10,0))").cast("decimal(38,0)")
     firsts = matches.groupBy(*keys, "label", "raw").agg(F.min(place).alias("_at"))
     return firsts.select(
         *keys, "label", "raw",
-        F.shiftright("_at", _POS_BITS + _RULE_BITS).cast("int").alias("line"),
-        F.shiftright("_at", _POS_BITS).bitwiseAND(F.lit((1 << _RULE_BITS) - 1)).cast("int").alias("rule_ord"),
-        F.col("_at").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).cast("int").alias("match_pos"))
+        F.expr(f"cast(_at div {_PART}0000000000BD as int)").alias("line"),
+        F.expr(f"cast((_at % {_PART}0000000000BD) div {_PART}BD as int)").alias("rule_ord"),
+        F.expr(f"cast(_at % {_PART}BD as int)").alias("match_pos"))
 
 
 def env_file_match(files: DataFrame, keys=("repo", "path"), rule=ENV_FILE_RULE) -> DataFrame:

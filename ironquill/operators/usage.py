@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.small import small_table
 from ..functions.text import first_match
 from ..rules.plan_limits import (
     AUDIT_MAX_ROWS, FEATURES, PAID_PLANS, PLAN_COLUMNS, PLAN_LABELS, PLAN_LIMITS, TREND_MAX_ROWS)
@@ -18,8 +19,8 @@ def _day(today) -> Column:
 
 
 def plan_limits_table(spark: SparkSession, limits=PLAN_LIMITS) -> DataFrame:
-    return spark.createDataFrame(
-        limits, "plan string, daily_scans int, daily_repos int, history_limit int, ai_depth string, "
+    return small_table(
+        spark, limits, "plan string, daily_scans int, daily_repos int, history_limit int, ai_depth string, "
         + ", ".join(f"{f} boolean" for f in FEATURES))
 
 
@@ -80,15 +81,16 @@ def quota_check(requests: DataFrame, users: DataFrame, limits: DataFrame | None
     """Running count per user and day against the plan's daily limit.
 
     Counting goes by minute slices, so a user with a huge day is no bottleneck.
+    Requests of unknown users count against the free plan.
     """
     limits = plan_limits_table(requests.sparkSession) if limits is None else limits
     days = requests.select("req_id", "user_id", "ts", F.to_date("ts").alias("date"),
                            F.date_trunc("minute", "ts").alias("_slice"))
     counted = running_count(days, ["user_id", "date"], "_slice", ["ts", "req_id"], "usage_count").drop("_slice")
-    plans = _with_limits(users.select(F.col("id").alias("user_id"), "plan"), limits).select(
-        "user_id", plan_of(F.col("plan")).alias("plan"), "daily_scans")
+    plans = users.select(F.col("id").alias("user_id"), "plan")
     cap = F.col("daily_scans")
-    return counted.join(plans, "user_id").withColumn(
+    return _with_limits(counted.join(plans, "user_id", "left"), limits).select(
+        *counted.columns, plan_of(F.col("plan")).alias("plan"), "daily_scans").withColumn(
         "allowed", (cap == -1) | (F.col("usage_count") <= cap))
 
 

@@ -10,7 +10,7 @@ from ..operators.billing import subscription_state
 from ..operators.cve import cve_flatten, epss_enrich
 from ..operators.dependencies import DEP_ORDER, checked_packages, dedup_packages, dependency_findings
 from ..operators.enrich import enrich
-from ..operators.paste import analyze_text
+from ..operators.paste import analyzed_texts
 from ..operators.reports import dep_risk_top20, exec_summary, recommendations, report_sections
 from ..operators.scoring import (
     _clamped, _legacy, _points, _worst, free_tier_topk, is_secret, known_severity, owasp_coverage, score_band,
@@ -76,14 +76,30 @@ def scan_report(files: DataFrame, repos: DataFrame, findings: DataFrame | None =
 
 
 def analyze_report(texts: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """Both scores and the counts per text (``text_id, text``); texts without findings included."""
-    findings = analyze_text(texts.select("text_id", "text")) if findings is None else findings
+    """Both scores and the counts per text (``text_id, text``); texts without findings included.
+
+    Without given findings each text is scored where it is read.
+    """
+    if findings is None:
+        found = analyzed_texts(texts.select("text_id", "text"))
+        of = F.transform("hits", lambda h: h["severity"])
+
+        def total(weights):
+            return F.aggregate(of, F.lit(0).cast("bigint"), lambda acc, s: acc + _points(s, weights))
+
+        return _scored(found.select(
+            "text_id", F.size("hits").cast("bigint").alias("findings"),
+            F.size(F.filter(of, lambda s: s.isin("CRITICAL", "HIGH"))).cast("bigint").alias("_hi"),
+            total(LEGACY_WEIGHTS).alias("_old"), total(SCORE_WEIGHTS).alias("_new")))
     sev = F.col("severity")
     agg = findings.groupBy("text_id").agg(
         F.count(F.lit(1)).alias("findings"), F.count_if(sev.isin("CRITICAL", "HIGH")).alias("_hi"),
         F.sum(_points(sev, LEGACY_WEIGHTS)).alias("_old"), F.sum(_points(sev, SCORE_WEIGHTS)).alias("_new"))
-    out = texts.select("text_id").join(agg, "text_id", "left")
-    return out.select(
+    return _scored(texts.select("text_id").join(agg, "text_id", "left"))
+
+
+def _scored(sums: DataFrame) -> DataFrame:
+    return sums.select(
         "text_id", F.coalesce("findings", F.lit(0)).alias("findings"),
         *_legacy(F.col("_old"), F.col("_hi"), F.col("findings")),
         _clamped(F.col("_new")).alias("security_score")).withColumn(

@@ -330,8 +330,8 @@ DEP_COLS = "repo, title, type, category, package, version, severity, description
 WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
 HELP["o_asked"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY rule_ord, match_pos) AS rn
     FROM o_paste) WHERE rn <= 5 AND cve = 'N/A'"""
-HELP["o_best"] = f"""SELECT title, id, cvss_score FROM (SELECT DISTINCT title FROM o_asked) a JOIN o_cve c
-    ON list_has_all({WORDS.format('left(c.description, 500)')}, {WORDS.format('a.title')})
+HELP["o_best"] = f"""SELECT title, id, v31 AS cvss_score FROM (SELECT DISTINCT title FROM o_asked) a JOIN o_cve c
+    ON list_has_all({WORDS.format('c.description')}, {WORDS.format('a.title')})
     QUALIFY row_number() OVER (PARTITION BY title ORDER BY published DESC, id DESC) = 1""".replace(
     "{L}", "{{L}}").replace("{N}", "{{N}}")
 
@@ -386,16 +386,16 @@ RAW: dict[str, str] = {
         CASE WHEN o = '' THEN 'Organization name is required' WHEN length(o) > 100
              THEN 'Organization name too long (max 100 characters)' END AS org_error
         FROM (SELECT *, trim(lower(email)) AS e, trim(org_name) AS o FROM v_registrations))""",
-    "validate_text": f"""SELECT text_id, length(t) AS chars, t <> '' AND length(t) <= 20000 AS ok,
-        t <> '' AND length(t) <= 20000 AS no_reason FROM (SELECT text_id, trim(text, {WS}) AS t FROM v_texts)""",
+    "validate_text": f"""SELECT text_id, length(t) AS chars, t <> '' AND length(t) <= 50000 AS ok,
+        t <> '' AND length(t) <= 50000 AS no_reason FROM (SELECT text_id, trim(text, {WS}) AS t FROM v_texts)""",
     "archive_guard": """SELECT archive, n AS members, b AS total_bytes, reason, reason IS NULL AS ok FROM (SELECT archive, n, b,
-        CASE WHEN n > 1500 THEN 'ZIP contains too many files (' || format('{{:,}}', n) || '). Limit is 1,500.'
+        CASE WHEN n > 1000 THEN 'ZIP contains too many files (' || format('{{:,}}', n) || '). Limit is 1,000.'
         WHEN b > 52428800 THEN 'ZIP uncompressed size exceeds 50 MB limit.'
         WHEN bad IS NOT NULL THEN 'Unsafe path in ZIP (path traversal): ' || bad END AS reason FROM (
         SELECT archive, count(*) AS n, sum(size)::BIGINT AS b, min(member) FILTER (member LIKE '/%' OR member LIKE '../%') AS bad
         FROM v_members GROUP BY archive))""",
     "repo_size_guard": f"""SELECT repo, n AS files, b AS total_bytes, reason, reason IS NULL AS ok FROM (SELECT repo, n, b,
-        CASE WHEN n > 290 THEN 'Repository exceeds 290 file limit.' WHEN b > 52428800
+        CASE WHEN n > 1000 THEN 'Repository exceeds 1,000 file limit.' WHEN b > 52428800
         THEN 'Repository exceeds 50 MB size limit.' END AS reason FROM (SELECT repo, count(*) FILTER (c) AS n,
         coalesce(sum(size) FILTER (c), 0)::BIGINT AS b FROM (SELECT *, NOT is_link AND NOT {_in_dirs(sl.SCAN_SKIP_DIRS)} AS c
         FROM v_tree) GROUP BY repo))""",
@@ -419,9 +419,9 @@ RAW: dict[str, str] = {
         GROUP BY 1) h ON h.user_id = u.id""",
     "usage_daily": "SELECT user_id, ts::DATE::STRING AS date, count(*) AS request_count FROM v_requests GROUP BY 1, 2",
     "quota_check": f"""SELECT req_id, user_id, plan, usage_count, daily_scans, daily_scans = -1 OR usage_count <= daily_scans
-        AS allowed FROM (SELECT r.req_id, r.user_id, {PLAN.replace('plan', 'u.plan')} AS plan, daily_scans, row_number() OVER (
+        AS allowed FROM (SELECT r.req_id, r.user_id, {PLAN.replace('plan', 'u.plan')} AS plan, coalesce(daily_scans, 5) AS daily_scans, row_number() OVER (
         PARTITION BY r.user_id, ts::DATE ORDER BY ts, req_id) AS usage_count
-        FROM v_requests r JOIN o_ulimits u ON r.user_id = u.id)""",
+        FROM v_requests r LEFT JOIN o_ulimits u ON r.user_id = u.id)""",
     "usage_meter": """SELECT user_id, date::STRING AS date, request_count, unlimited, CASE WHEN NOT unlimited THEN pct END AS pct,
         CASE WHEN unlimited THEN NULL WHEN pct >= 90 THEN 'danger' WHEN pct >= 70 THEN 'warning' ELSE 'success' END AS band FROM (
         SELECT x.*, daily_scans < 1 AS unlimited, least(100, floor(request_count * 100.0 / daily_scans + 0.5))::BIGINT AS pct
@@ -534,7 +534,7 @@ RAW: dict[str, str] = {
     "recommendations": "SELECT repo, concat_ws(' | ', " + ", ".join(
         f"CASE WHEN {cond} THEN {q(text)} END" for cond, text in (
             ("critical > 0", "Rotate all exposed credentials immediately — treat CRITICAL findings as already compromised."),
-            ("secret_count > 0", "Move all secrets to environment variables or a secrets manager (e.g. HashiCorp Vault, AWS "
+            ("EXISTS (SELECT 1 FROM o_findings f WHERE f.repo = o_scan_report.repo AND f.category = 'Secrets Exposure')", "Move all secrets to environment variables or a secrets manager (e.g. HashiCorp Vault, AWS "
                                  "Secrets Manager, or your platform's secret store)."),
             ("outdated_packages > 0", "Update vulnerable dependencies to the versions specified in this report, prioritising "
                                       "CRITICAL and HIGH severity packages."),

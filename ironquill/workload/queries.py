@@ -7,7 +7,6 @@ engine's result can be compared by value.
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -56,8 +55,10 @@ def wide(df: DataFrame, *names: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a local one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ironquill-")
+    """A new folder in the shared checkpoint folder, or in the warehouse; on a cluster neither may be a machine's own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -290,18 +291,18 @@ def validate_registrations(spark, d):
 
 @query
 def validate_text(spark, d):
-    return req.validate_text(texts(spark, d), max_chars=20_000).select(
+    return req.validate_text(texts(spark, d)).select(
         "text_id", F.char_length("text").alias("chars"), "ok", F.col("reason").isNull().alias("no_reason"))
 
 
 @query
 def archive_guard(spark, d):
-    return guards.archive_guard(members(spark, d), max_files=1_500, max_bytes=50 * 1048576)
+    return guards.archive_guard(members(spark, d))
 
 
 @query
 def repo_size_guard(spark, d):
-    return guards.repo_size_guard(tree(spark, d), max_files=290)
+    return guards.repo_size_guard(tree(spark, d))
 
 
 @query
@@ -467,7 +468,7 @@ def eol_match(spark, d):
 @query
 def version_parse(spark, d):
     return declared(spark, d).select("repo", "name", "version",
-                                     joined(T.version_parse(F.col("version")).cast("array<string>")).alias("parts"))
+                                     joined(F.transform(T.version_parse(F.col("version")), lambda n: n["number"])).alias("parts"))
 
 
 @query
@@ -620,13 +621,14 @@ def epss_enrich(spark, d):
 
 @query
 def cve_keyword_search(spark, d):
-    return cve.cve_keyword_search(cve.cve_flatten(cves_raw(spark, d)), " SQL Injection ", 5).select(
+    return cve.cve_keyword_search(cve.cve_flatten(cves_raw(spark, d), None), " SQL Injection ", 5).select(
         "id", "published", "severity")
 
 
 @query
 def finding_cve_lookup(spark, d):
-    out = cve.finding_cve_lookup(paste(spark, d), cve.cve_flatten(cves_raw(spark, d)), ["rule_ord", "match_pos"])
+    known = cve.cve_flatten(cves_raw(spark, d), None, cve.METRICS[:1])
+    out = cve.finding_cve_lookup(paste(spark, d), known, ["rule_ord", "match_pos"])
     return out.select("text_id", "title", "match", "top_cve", "top_cvss")
 
 
@@ -645,7 +647,9 @@ def llm_reply_parse(spark, d):
 
 def _summary(spark, d):
     s = composites.scan_report(tree(spark, d), repos(spark, d))
-    return s.withColumn("secrets", F.col("secret_count")).withColumn("dep_findings", F.col("outdated_packages"))
+    exposed = findings(spark, d).filter(F.col("category") == "Secrets Exposure").groupBy("repo").agg(F.count(F.lit(1)).alias("secrets"))
+    return (s.join(exposed, "repo", "left").withColumn("secrets", F.coalesce("secrets", F.lit(0)))
+            .withColumn("dep_findings", F.col("outdated_packages")))
 
 
 @query

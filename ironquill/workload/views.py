@@ -226,7 +226,7 @@ VIEWS: dict[str, str] = {
                     WHEN 3 THEN '{{"other": 1}}'
                     ELSE concat('{{"score": 3, "security_score": ', cast(event_id % 83 AS string), '}}') END AS result_json,
                ts AS created_at
-        FROM {events} WHERE event_type <> 'view'""",
+        FROM {events}""",
     "v_audit": """
         SELECT concat('a', cast(event_id AS string)) AS id, concat('u', cast(user_id AS string)) AS user_id,
                concat('org', cast(user_id % 25 AS string)) AS org_id,
@@ -273,15 +273,15 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_partkey % 6 < 3 THEN cast(p_size AS double) / 5 END AS v31,
                CASE WHEN p_partkey % 6 IN (2, 3) THEN cast(p_size AS double) / 10 END AS v30,
                CASE WHEN p_partkey % 6 = 4 THEN cast(p_size AS double) / 20 END AS v2,
-               concat(p_name, ' ', p_brand, CASE p_partkey % 7 WHEN 0 THEN ' allows insecure use of eval'
+               concat(p_name, ' ', p_brand, repeat(' pad', CASE WHEN p_partkey % 2 = 1 THEN p_size * 4 ELSE 0 END), CASE p_partkey % 7 WHEN 0 THEN ' allows insecure use of eval'
                       WHEN 1 THEN ' hash: high entropy string, possible secret detected' WHEN 2 THEN ' SQL injection in search'
-                      WHEN 3 THEN ' Detected verify=False flaw' ELSE ' overflow' END, repeat(' pad', p_size * 4)) AS description,
+                      WHEN 3 THEN ' Detected verify=False flaw' ELSE ' overflow' END, repeat(' pad', CASE WHEN p_partkey % 2 = 0 THEN p_size * 4 ELSE 0 END)) AS description,
                concat('20', cast(10 + p_partkey % 15 AS string), '-0', cast(1 + p_partkey % 9 AS string), '-11T00:00:00.000')
                       AS published,
                p_partkey % 8 AS cpes FROM {part}""",
     "v_epss": """
         SELECT id AS cve, CASE WHEN k % 10 = 0 THEN 'n/a' ELSE cast(cast(k % 977 AS double) / 1000 AS string) END AS epss
-        FROM v_cve_flat WHERE published < '2022'""",
+        FROM v_cve_flat""",
     "v_replies": """
         SELECT concat('c', cast(conv_id AS string), '-', cast(turn AS string)) AS reply_id,
                CASE turn % 3 WHEN 0 THEN concat('SECURITY_ISSUES:', chr(10), '- ', substr(text, 1, 40), chr(10), ' -- two',

@@ -60,6 +60,15 @@ def test_plans_keep_what_scale_needs(spark):
     for name in ("scan_report", "finding_cve_lookup", "dependency_report", "quota_check", "subscription_state"):
         text = plan(QUERIES[name](spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+    # Fixed tables are local relations, so no plan deals the large side out by a few rule, plan or bucket names.
+    for name in ("sort_findings", "scan_report", "advisory_match", "eol_match", "dependency_report", "plan_gate", "user_org_limits",
+                 "quota_check", "rate_limit_batch", "recent_scans", "dashboard_bundle"):
+        text = plan(QUERIES[name](spark, FOLDER))
+        assert "ExistingRDD" not in text, name
+        for key in ("rule_ord", "_lp", "name", "bucket"):
+            assert f"hashpartitioning({key}#" not in text, (name, key)
+    scores = plan(QUERIES["analyze_report"](spark, FOLDER))
+    assert "Join" not in scores and "hashpartitioning" not in scores
     lookup = plan(QUERIES["src_tables"](spark, FOLDER))
     assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in lookup
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in lookup
