@@ -100,13 +100,13 @@ def with_next(docs: DataFrame, columns: list[str], order_col: str) -> DataFrame:
 
     After the last row comes the first. A null stands before all numbers; of
     rows that share a number the smaller text digest (``_sha``) comes first.
-    The rows are cut into ranges at about as many numbers as there are shuffle
-    partitions; each range also gets the first row of the one after it, so
-    no window spans the table.
+    The rows are cut into some four ranges to a shuffle partition; each range
+    also gets the first row of the one after it, so no window spans the table.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(order_col).cast("long"), F.lit(-(1 << 63)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Several ranges to a partition, so that partitions differ little in size.
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.select(key.alias("_key")).agg(
         F.min("_key"), F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts + 100)).first()
     if bounds[0] is None:
