@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -74,6 +74,23 @@ def stream_usage_daily(requests: DataFrame) -> DataFrame:
             .select("user_id", F.to_date("window.start").alias("date"), "request_count"))
 
 
+def stream_usage_open(requests: DataFrame, path: str, checkpoint: str):
+    """Counts of every day as they stand, open days included: each batch writes the rows that it changed.
+
+    A replay rewrites its own folder.  :func:`usage_now` reads the newest count of each user and day.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (stream_usage_daily(requests).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def usage_now(spark: SparkSession, path: str) -> DataFrame:
+    """Counts only grow, so the largest is the newest."""
+    return spark.read.parquet(path).groupBy("user_id", "date").agg(F.max("request_count").alias("request_count"))
+
+
 def stream_secret_scan(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
     """Stateless scan of arriving files; every file is whole, so each line is judged at once.
 

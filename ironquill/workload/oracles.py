@@ -573,7 +573,7 @@ RAW: dict[str, str] = {
     "rate_limit_hot_keys": RATE,
     "stream_rate_limit": RATE,
     "stream_usage_daily": """SELECT user_id, ts::DATE::STRING AS date, count(*) AS request_count FROM v_requests
-        GROUP BY 1, 2 HAVING max(ts)::DATE + 1 <= (SELECT max(ts) FROM v_requests) - INTERVAL 10 MINUTE""",
+        GROUP BY 1, 2""",
     "stream_injection_alerts": f"SELECT req_id, path, left(query, 80) AS query FROM v_requests WHERE {INJECTION}",
     "stream_audit_append": "SELECT id, user_id, action, least(500, length(metadata)) AS metadata_chars FROM v_audit",
     "stream_secret_scan": """SELECT m.repo, m.path, label, line, match_pos, CASE WHEN length(raw) <= 6 THEN '***' ELSE left(raw, 6)

@@ -727,8 +727,9 @@ def stream_rate_limit(spark, d):
 
 @query
 def stream_usage_daily(spark, d):
-    return drained(spark, streams.stream_usage_daily(stream_of(spark, d, "v_requests", "events"))).withColumn(
-        "date", F.col("date").cast("string"))
+    out = scratch(spark)
+    streams.stream_usage_open(stream_of(spark, d, "v_requests", "events"), out + "/data", out + "/check").awaitTermination()
+    return streams.usage_now(spark, out + "/data").withColumn("date", F.col("date").cast("string"))
 
 
 @query

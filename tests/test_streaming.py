@@ -50,6 +50,15 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert {(str(r.date), r.request_count) for r in out.collect()} == {("2024-01-01", 2), ("2024-01-03", 1)}
 
 
+def test_usage_of_open_days(spark, tmp_path):
+    for seconds in ([0, 10], [2 * 86400], [2 * 86400 + 20, 4 * 86400]):
+        land(spark.createDataFrame([request(i, s) for i, s in enumerate(seconds)], REQ), tmp_path / "in")
+        source = spark.readStream.schema(REQ).parquet(str(tmp_path / "in"))
+        streams.stream_usage_open(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {(str(r.date), r.request_count) for r in streams.usage_now(spark, str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-01", 2), ("2024-01-03", 2), ("2024-01-05", 1)}
+
+
 def test_secret_scan_equals_batch(spark, tmp_path):
     key = "AK" + "IA" + "Z" * 16
     files = spark.createDataFrame([("r", f"f{i}.py", False, 9, f"a\nk={key}\nmd5(x)") for i in range(6)],
