@@ -3,8 +3,8 @@
 Each class has a model of how its words are spelled: the probability of a
 letter after up to four before it, absolutely discounted. What the discount
 frees goes to a shared lower-order Kneser-Ney model, whose continuation counts
-pool both classes, so that rare expressions do not count for a class that
-happens to have seen them once. A text's score compares its log-likelihoods
+cover every text of the corpus, labelled or not, so that rare expressions do
+not count for a class that happens to have seen them once. A text's score compares its log-likelihoods
 under both, divided by its words: once over all of them, less the median word,
 which takes out what the text's language adds to each; and once over what
 single words say beyond doubt.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,30 +122,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     return joined.select(F.col("doc_id").alias("_id"), "_text", "_toxic", (F.crc32(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))) % FOLDS).alias("_fold"))
 
 
+def _words_of(text: str) -> Column:
+    return F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))
+
+
+def _sequences(word: str) -> Column:
+    marked = F.concat(F.lit(_START), F.col(word), F.lit(_END))
+    return F.explode(F.transform(F.sequence(F.lit(2), F.length(marked)),
+                                 lambda e: F.substring(marked, F.greatest(e - ORDER + 1, F.lit(1)), F.least(e, F.lit(ORDER)))))
+
+
 def letter_counts(sample: DataFrame) -> DataFrame:
     """``g, n1, n0``: sequences of a letter with up to four before it in its word, and their counts by class."""
-    words = (sample.select(F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"), "_toxic")
+    words = (sample.select(_words_of("_text").alias("w"), "_toxic")
              .groupBy("w").agg(F.sum("_toxic").alias("n1"), F.sum(1 - F.col("_toxic")).alias("n0")))
-    marked = words.select(F.concat(F.lit(_START), F.col("w"), F.lit(_END)).alias("s"), "n1", "n0")
-    ends = F.transform(F.sequence(F.lit(2), F.length("s")),
-                       lambda e: F.substring(F.col("s"), F.greatest(e - ORDER + 1, F.lit(1)), F.least(e, F.lit(ORDER))))
-    return marked.select(F.explode(ends).alias("g"), "n1", "n0").groupBy("g").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return words.select(_sequences("w").alias("g"), "n1", "n0").groupBy("g").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+def letter_types(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``g``: the distinct sequences, as in ``letter_counts``, of every whole text, labelled or not."""
+    return docs.select(_words_of(text_col).alias("w")).distinct().select(_sequences("w").alias("g")).distinct()
+
+
+def kneser_ney(counts: DataFrame, types: DataFrame | None = None, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
     """Log-likelihood differences ``g, gain`` of the sequences and ``h, gain`` of their contexts.
 
+    The shared lower-order model counts the sequences of ``counts`` and those
+    of ``types`` (``g``), such as the whole corpus has.
     A letter that neither class has seen after a context has the same shared
     probability under both; what differs is the weight that each gives it.
     """
     d = discount
     counts = cut(counts, "counts")
+    known = counts.select("g") if types is None else cut(counts.select("g").unionByName(types).distinct(), "types")
     # Distinct sequences of each length; a shorter one continues each that ends in it.
-    levels = {order: counts.filter(F.length("g") == order).select("g")}
+    levels = {order: known.filter(F.length("g") == order)}
     continued = {}
     for k in range(order, 1, -1):
         continued[k - 1] = cut(levels[k].groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("c")), "continued")
-        levels[k - 1] = continued[k - 1].select("g").unionByName(counts.filter(F.length("g") == k - 1).select("g")).distinct()
+        levels[k - 1] = continued[k - 1].select("g").unionByName(known.filter(F.length("g") == k - 1)).distinct()
     total = continued[1].agg(F.sum("c")).first()[0] or 1
     shared = continued[1].select("g", (F.col("c") / float(total)).alias("p"))
     below = [shared]
@@ -169,9 +184,12 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int = MODEL_ENTRIES) -> ToxicityModel:
-    """Models from the labelled rows that may be learned from. Without rows of both classes every text scores 0.5."""
+    """Models from the labelled rows that may be learned from; what they back off to is counted over all of ``docs``.
+
+    Without rows of both classes every text scores 0.5.
+    """
     sample = cut(labelled_sample(docs, labels, rows), "sample")
-    grams, contexts = kneser_ney(letter_counts(sample.filter("_fold <> 0")))
+    grams, contexts = kneser_ney(letter_counts(sample.filter("_fold <> 0")), letter_types(docs))
     strongest = F.abs("gain").desc()
     gram_table, context_table = (_table(x.orderBy(strongest, x.columns[0]).limit(entries).collect(), c) if x.count() > entries
                                  else _table(x.collect(), c) for x, c in ((cut(grams, "grams"), False), (cut(contexts, "gains"), True)))

@@ -46,10 +46,12 @@ def test_labels_that_are_held_out_change_nothing(spark, tables):
     assert a == b
 
 
-def test_gains_match_kneser_ney_by_hand(spark):
+@pytest.mark.parametrize("others", [(), ("abbab cabs", "xab", None, "")])
+def test_gains_match_kneser_ney_by_hand(spark, others):
     rows = [(1, "abab abc", 1, 1), (2, "abc bca cab abc", 0, 1), (3, "bb ab", 0, 1), (4, "cc abb", 1, 1)]
     sample = spark.createDataFrame(rows, "_id long, _text string, _toxic int, _fold int")
-    grams, contexts = X.kneser_ney(X.letter_counts(sample))
+    corpus = spark.createDataFrame([(t,) for t in others], "text string")
+    grams, contexts = X.kneser_ney(X.letter_counts(sample), X.letter_types(corpus) if others else None)
     counts = {0: Counter(), 1: Counter()}
     for _, text, y, _ in rows:
         for w in text.split():
@@ -57,11 +59,16 @@ def test_gains_match_kneser_ney_by_hand(spark):
             for e in range(2, len(s) + 1):
                 counts[y][s[max(0, e - X.ORDER) : e]] += 1
     top = set(counts[0]) | set(counts[1])
-    levels = {X.ORDER: {g for g in top if len(g) == X.ORDER}}
+    known = set(top)
+    for t in others:
+        for w in (t or "").split():
+            s = X._START + w + X._END
+            known |= {s[max(0, e - X.ORDER) : e] for e in range(2, len(s) + 1)}
+    levels = {X.ORDER: {g for g in known if len(g) == X.ORDER}}
     continued = {}
     for k in range(X.ORDER, 1, -1):
         continued[k - 1] = Counter(g[1:] for g in levels[k])
-        levels[k - 1] = set(continued[k - 1]) | {g for g in top if len(g) == k - 1}
+        levels[k - 1] = set(continued[k - 1]) | {g for g in known if len(g) == k - 1}
     d = X.DISCOUNT
 
     def shared(g):
