@@ -43,7 +43,8 @@ def expired_trials(users: DataFrame, today) -> DataFrame:
 
 # ---- payment events ----------------------------------------------------------------
 #  events: seq, ts, event_type, resource<id, custom_id, billing_agreement_id,
-#          invoice_id, subscriber<email_address>, amount<total, value>>
+#          invoice_id, subscriber<email_address>, amount<total, value>, billing>>;
+#          billing (monthly or annual) belongs to checkouts and may be left out
 
 def _given(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
@@ -52,18 +53,20 @@ def _given(col: Column) -> Column:
 def event_keys(events: DataFrame) -> DataFrame:
     """Flatten events: the subscription or user each refers to, and its amount."""
     r, kind = F.col("resource"), F.col("event_type")
+    has_billing = "billing" in events.schema["resource"].dataType.names
     by_user = kind.isin(EV_ACTIVATED, EV_CAPTURE, EV_MANUAL, EV_USER_CANCEL, EV_CHECKOUT, EV_ORDER_CAPTURED)
     sub = (F.when(kind.isin(*EV_RENEWED), F.coalesce(_given(r["billing_agreement_id"]), _given(r["id"])))
-           .when(kind.isin(EV_ACTIVATED, EV_CHECKOUT, *EV_FAILED, EV_CANCELLED), _given(r["id"])))
+           .when(kind.isin(EV_ACTIVATED, EV_CHECKOUT, EV_USER_CANCEL, *EV_FAILED, EV_CANCELLED), _given(r["id"])))
     order = F.when(kind.isin(EV_CAPTURE, EV_ORDER_CAPTURED), _given(r["id"]))
     user = (F.when(kind.isin(EV_ACTIVATED, EV_CHECKOUT),
                    F.coalesce(_given(r["custom_id"]), _given(r["subscriber"]["email_address"])))
             .when(kind.isin(EV_CAPTURE, EV_ORDER_CAPTURED), F.coalesce(_given(r["custom_id"]), _given(r["invoice_id"])))
             .when(by_user, _given(r["custom_id"])))
     amount = (F.when(kind.isin(*EV_RENEWED), F.coalesce(_given(r["amount"]["total"]), r["amount"]["value"], F.lit("")))
-              .when(kind == EV_CAPTURE, F.coalesce(r["amount"]["value"], F.lit(""))).otherwise(F.lit("")))
+              .when(kind.isin(EV_CAPTURE, EV_CHECKOUT, EV_ORDER_CAPTURED), F.coalesce(r["amount"]["value"], F.lit(""))).otherwise(F.lit("")))
+    billing = F.when(kind == EV_CHECKOUT, F.coalesce(_given(r["billing"]) if has_billing else F.lit(None), F.lit("monthly")))
     flat = bind(events.select("seq", "ts", "event_type", "resource"), subscription_id=sub, order_id=order,
-                ref_user=user, amount=amount, by_user=by_user).drop("resource")
+                ref_user=user, amount=amount, billing=billing, by_user=by_user).drop("resource")
     has_sub, has_order = F.col("subscription_id").isNotNull(), F.col("order_id").isNotNull()
     has_user = F.col("ref_user").isNotNull()
     return flat.filter(F.when(kind.isin(EV_ACTIVATED, EV_CHECKOUT), has_sub & has_user)
@@ -108,7 +111,7 @@ def routed_events(events: DataFrame, users: DataFrame, slice_events: int = 1_000
     holding = carried.filter(F.col("event_type").isNotNull()).join(initial, "user_id").filter(
         F.coalesce("_now", "_initial") == F.col("subscription_id"))
     # Two holders at once: the smallest user id answers, as in the lookup.
-    facts = ["ts", "event_type", "subscription_id", "order_id", "amount", "by_user"]
+    facts = ["ts", "event_type", "subscription_id", "order_id", "amount", "billing", "by_user"]
     chosen = holding.groupBy("seq").agg(F.min("user_id").alias("user_id"), *[F.first(c).alias(c) for c in facts])
     return direct.unionByName(chosen)
 
@@ -118,6 +121,8 @@ def _updates() -> dict[str, Column]:
     kind = F.col("event_type")
     activated, checkout, manual = kind == EV_ACTIVATED, kind == EV_CHECKOUT, kind == EV_MANUAL
     renewed, capture = kind.isin(*EV_RENEWED), kind.isin(EV_CAPTURE, EV_ORDER_CAPTURED)
+    annual = checkout & (F.col("billing") == "annual")
+    monthly = activated | (checkout & (F.col("billing") != "annual"))
     failed, cancelled = kind.isin(*EV_FAILED), kind == EV_CANCELLED
     up, down = activated | checkout | capture | manual | renewed, failed | cancelled
     day = F.to_date("ts").cast("string")
@@ -125,12 +130,12 @@ def _updates() -> dict[str, Column]:
         "is_pro": F.when(up, True).when(down, False),
         "plan": F.when(up, "pro").when(down, "free"),
         "trial_active": F.when(activated | checkout | capture | manual | down, False),
-        "paypal_order_id": F.when(activated, "").when(capture, F.col("order_id")),
+        "paypal_order_id": F.when(monthly, "").when(capture, F.col("order_id")),
         "paypal_subscription_id": F.when(activated | checkout, F.col("subscription_id")),
         "subscription_status": F.when(activated | checkout | renewed, "ACTIVE").when(down, "INACTIVE")
         .when(manual, "MANUAL").when(kind == EV_USER_CANCEL, "CANCELLING"),
-        "subscription_billing": F.when(activated, "monthly").when(checkout, "annual"),
-        "subscription_renewed_at": F.when(renewed | checkout, day),
+        "subscription_billing": F.when(monthly, "monthly").when(annual, "annual"),
+        "subscription_renewed_at": F.when(renewed | annual, day),
         "downgraded_at": F.when(down, day),
         "downgrade_reason": F.when(failed, "payment_failed").when(cancelled, "subscription_cancelled"),
     }

@@ -29,10 +29,20 @@ def src_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def _cve_lines(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"vulnerabilities array<struct<{CVE_SCHEMA.replace('cve ', 'cve:', 1)}>>, {CVE_SCHEMA}, _bad string"
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+
+
+def cve_feed_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``line``: the lines of a landed feed that are not such JSON, which :func:`src_cve_feed` leaves out."""
+    bad = F.col("_bad").isNotNull() & F.col("cve").isNull() & F.col("vulnerabilities").isNull()
+    return _cve_lines(spark, path).filter(bad).select(F.col("_bad").alias("line"))
+
+
 def src_cve_feed(spark: SparkSession, path: str) -> DataFrame:
     """A landed feed: JSON lines of ``{"cve": ...}``, or pages with a ``vulnerabilities`` list."""
-    pages = spark.read.schema(f"vulnerabilities array<struct<{CVE_SCHEMA.replace('cve ', 'cve:', 1)}>>, {CVE_SCHEMA}"
-                              ).option("multiLine", False).json(path)
+    pages = _cve_lines(spark, path)
     listed = pages.filter(F.col("vulnerabilities").isNotNull()).select(F.inline("vulnerabilities"))
     return pages.filter(F.col("cve").isNotNull()).select("cve").unionByName(listed)
 

@@ -139,6 +139,13 @@ def stream_subscription_state(events: DataFrame, users: DataFrame, path: str, ch
             .trigger(availableNow=True).start())
 
 
+def state_now(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the users' state."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def run_available(stream: DataFrame, sink: Callable, checkpoint: str):
     """Process what is there now with ``sink(batch, batch_id)`` and stop."""
     query = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

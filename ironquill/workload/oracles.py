@@ -268,18 +268,19 @@ CVE_FLAT = """SELECT id, cvss_score, severity, published, left(description, 500)
     range(1, cpes + 2), lambda i: 'https://ref.example/' || i), 1, 5), ' | ') AS references FROM o_cve"""
 EPSS = "round(try_cast(epss AS DOUBLE), 4) AS epss_score, try_cast(epss AS DOUBLE) >= 0.1 AS exploit_available"
 HELP["o_pe"] = """SELECT *, event_type IN ('BILLING.SUBSCRIPTION.ACTIVATED', 'PAYMENT.CAPTURE.COMPLETED', 'USER_CANCELLED',
-    'MANUAL') AS by_user, CASE WHEN event_type IN ('BILLING.SUBSCRIPTION.RENEWED', 'PAYMENT.SALE.COMPLETED')
-    THEN coalesce(nullif(agreement_id, ''), nullif(res_id, '')) WHEN event_type LIKE 'BILLING.%' THEN nullif(res_id, '') END AS sub,
-    CASE WHEN event_type = 'BILLING.SUBSCRIPTION.ACTIVATED' THEN coalesce(nullif(custom_id, ''), nullif(sub_email, ''))
-    WHEN event_type = 'PAYMENT.CAPTURE.COMPLETED' THEN coalesce(nullif(custom_id, ''), nullif(invoice_id, ''))
+    'MANUAL', 'SUBSCRIPTION_ACTIVATED', 'ORDER_CAPTURED') AS by_user, CASE WHEN event_type IN ('BILLING.SUBSCRIPTION.RENEWED', 'PAYMENT.SALE.COMPLETED')
+    THEN coalesce(nullif(agreement_id, ''), nullif(res_id, '')) WHEN event_type LIKE 'BILLING.%'
+    OR event_type IN ('SUBSCRIPTION_ACTIVATED', 'USER_CANCELLED') THEN nullif(res_id, '') END AS sub,
+    CASE WHEN event_type IN ('BILLING.SUBSCRIPTION.ACTIVATED', 'SUBSCRIPTION_ACTIVATED') THEN coalesce(nullif(custom_id, ''), nullif(sub_email, ''))
+    WHEN event_type IN ('PAYMENT.CAPTURE.COMPLETED', 'ORDER_CAPTURED') THEN coalesce(nullif(custom_id, ''), nullif(invoice_id, ''))
     WHEN event_type IN ('USER_CANCELLED', 'MANUAL') THEN nullif(custom_id, '') END AS usr FROM v_payment_events"""
 HELP["o_direct"] = "SELECT p.*, u.id AS user_id FROM o_pe p JOIN v_users u ON p.by_user AND p.usr = u.id"
 HELP["o_grants"] = """SELECT user_id, sub, seq AS s, lead(seq, 1, 9223372036854775807) OVER (PARTITION BY user_id ORDER BY seq) AS e
-    FROM (SELECT user_id, sub, seq FROM o_direct WHERE event_type = 'BILLING.SUBSCRIPTION.ACTIVATED' AND sub IS NOT NULL
+    FROM (SELECT user_id, sub, seq FROM o_direct WHERE event_type IN ('BILLING.SUBSCRIPTION.ACTIVATED', 'SUBSCRIPTION_ACTIVATED') AND sub IS NOT NULL
     UNION ALL SELECT id, nullif(paypal_subscription_id, ''), -1 FROM v_users)"""
-HELP["o_routed"] = """SELECT seq, ts, event_type, sub, res_id, user_id FROM o_direct WHERE NOT (
-    event_type = 'BILLING.SUBSCRIPTION.ACTIVATED' AND sub IS NULL)
-    UNION ALL SELECT p.seq, any_value(ts), any_value(event_type), any_value(p.sub), any_value(res_id), min(g.user_id) FROM o_pe p
+HELP["o_routed"] = """SELECT seq, ts, event_type, sub, res_id, billing, user_id FROM o_direct WHERE NOT (
+    event_type IN ('BILLING.SUBSCRIPTION.ACTIVATED', 'SUBSCRIPTION_ACTIVATED') AND sub IS NULL)
+    UNION ALL SELECT p.seq, any_value(ts), any_value(event_type), any_value(p.sub), any_value(res_id), any_value(billing), min(g.user_id) FROM o_pe p
     JOIN o_grants g ON NOT p.by_user AND p.sub = g.sub AND p.seq > g.s AND p.seq < g.e GROUP BY p.seq"""
 
 
@@ -290,18 +291,21 @@ def _last(column: str, branches: str, stored: str | None) -> str:
 
 ACT, CAP, DOWN = "'BILLING.SUBSCRIPTION.ACTIVATED'", "'PAYMENT.CAPTURE.COMPLETED'", (
     "'BILLING.SUBSCRIPTION.PAYMENT.FAILED', 'BILLING.SUBSCRIPTION.SUSPENDED', 'BILLING.SUBSCRIPTION.CANCELLED'")
+CHK, ORD = "'SUBSCRIPTION_ACTIVATED'", "'ORDER_CAPTURED'"
+MONTHLY, ANNUAL = (f"(event_type = {ACT} OR event_type = {CHK} AND billing IS DISTINCT FROM 'annual')",
+                   f"(event_type = {CHK} AND billing = 'annual')")
 REN = "'BILLING.SUBSCRIPTION.RENEWED', 'PAYMENT.SALE.COMPLETED'"
 _FOLD = {
     "is_pro": (f"WHEN event_type IN ({DOWN}) THEN false WHEN event_type <> 'USER_CANCELLED' THEN true", "is_pro"),
     "plan": (f"WHEN event_type IN ({DOWN}) THEN 'free' WHEN event_type <> 'USER_CANCELLED' THEN 'pro'", "plan"),
-    "trial_active": (f"WHEN event_type IN ({DOWN}, {ACT}, {CAP}, 'MANUAL') THEN false", "trial_active"),
-    "paypal_order_id": (f"WHEN event_type = {ACT} THEN '' WHEN event_type = {CAP} THEN res_id", None),
-    "paypal_subscription_id": (f"WHEN event_type = {ACT} THEN sub", "paypal_subscription_id"),
-    "subscription_status": (f"WHEN event_type IN ({ACT}, {REN}) THEN 'ACTIVE' WHEN event_type IN ({DOWN}) THEN 'INACTIVE' "
+    "trial_active": (f"WHEN event_type IN ({DOWN}, {ACT}, {CAP}, {CHK}, {ORD}, 'MANUAL') THEN false", "trial_active"),
+    "paypal_order_id": (f"WHEN {MONTHLY} THEN '' WHEN event_type IN ({CAP}, {ORD}) THEN res_id", None),
+    "paypal_subscription_id": (f"WHEN event_type IN ({ACT}, {CHK}) THEN sub", "paypal_subscription_id"),
+    "subscription_status": (f"WHEN event_type IN ({ACT}, {CHK}, {REN}) THEN 'ACTIVE' WHEN event_type IN ({DOWN}) THEN 'INACTIVE' "
                             "WHEN event_type = 'MANUAL' THEN 'MANUAL' WHEN event_type = 'USER_CANCELLED' THEN 'CANCELLING'",
                             "subscription_status"),
-    "subscription_billing": (f"WHEN event_type = {ACT} THEN 'monthly'", "subscription_billing"),
-    "subscription_renewed_at": (f"WHEN event_type IN ({REN}) THEN ts::DATE::STRING", None),
+    "subscription_billing": (f"WHEN {MONTHLY} THEN 'monthly' WHEN {ANNUAL} THEN 'annual'", "subscription_billing"),
+    "subscription_renewed_at": (f"WHEN event_type IN ({REN}) OR {ANNUAL} THEN ts::DATE::STRING", None),
     "downgraded_at": (f"WHEN event_type IN ({DOWN}) THEN ts::DATE::STRING", None),
     "downgrade_reason": ("WHEN event_type = 'BILLING.SUBSCRIPTION.CANCELLED' THEN 'subscription_cancelled' "
                          f"WHEN event_type IN ({DOWN}) THEN 'payment_failed'", None),
@@ -387,7 +391,7 @@ RAW: dict[str, str] = {
              THEN 'Organization name too long (max 100 characters)' END AS org_error
         FROM (SELECT *, trim(lower(email)) AS e, trim(org_name) AS o FROM v_registrations))""",
     "validate_text": f"""SELECT text_id, length(t) AS chars, t <> '' AND length(t) <= 50000 AS ok,
-        t <> '' AND length(t) <= 50000 AS no_reason FROM (SELECT text_id, trim(text, {WS}) AS t FROM v_texts)""",
+        CASE WHEN t = '' THEN 'Code text cannot be empty' WHEN length(t) > 50000 THEN 'Input too large (max 50,000 chars)' END AS reason FROM (SELECT text_id, trim(text, {WS}) AS t FROM v_texts)""",
     "archive_guard": """SELECT archive, n AS members, b AS total_bytes, reason, reason IS NULL AS ok FROM (SELECT archive, n, b,
         CASE WHEN n > 1000 THEN 'ZIP contains too many files (' || format('{{:,}}', n) || '). Limit is 1,000.'
         WHEN b > 52428800 THEN 'ZIP uncompressed size exceeds 50 MB limit.'

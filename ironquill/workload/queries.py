@@ -23,7 +23,7 @@ from ..plans import composites
 from ..rules.scan_limits import FREE_FINDINGS
 from ..sources import files as src
 from ..sources import manifests as man
-from ..sources import sinks
+from ..sources import sinks, tables
 from ..sources.tables import src_tables
 from ..streaming import streams
 from .views import BASE, TODAY, settled, view, with_views
@@ -107,12 +107,15 @@ def flat_cves(df: DataFrame) -> DataFrame:
     return df.withColumn("affected_products", joined("affected_products")).withColumn("references", joined("references"))
 
 
-def payment_events(spark, d):
-    e = view(spark, d, "v_payment_events")
+def nested_events(e: DataFrame) -> DataFrame:
     return e.select("seq", "ts", "event_type", F.struct(
         F.col("res_id").alias("id"), "custom_id", F.col("agreement_id").alias("billing_agreement_id"), "invoice_id",
         F.struct(F.col("sub_email").alias("email_address")).alias("subscriber"),
-        F.struct("total", F.col("val").alias("value")).alias("amount")).alias("resource"))
+        F.struct("total", F.col("val").alias("value")).alias("amount"), "billing").alias("resource"))
+
+
+def payment_events(spark, d):
+    return nested_events(view(spark, d, "v_payment_events"))
 
 
 # ---- sources and sinks ------------------------------------------------------------
@@ -150,16 +153,18 @@ for _fn in (man.src_requirements, man.src_package_json, man.src_package_lock, ma
 
 @query
 def src_cve_feed(spark, d):
-    raw = cves_raw(spark, d)
-    text = raw.select(F.to_json(F.struct("cve")).alias("j"))
-    parsed = text.select(F.from_json("j", raw.schema).alias("p")).select("p.cve.*")
-    return parsed.select("id", "published", F.get("descriptions", 0)["value"].alias("description"),
+    """The table as a feed of JSON lines, landed and read."""
+    landed = scratch(spark)
+    cves_raw(spark, d).select(F.to_json(F.struct("cve"))).write.text(landed)
+    return tables.src_cve_feed(spark, landed).select("cve.*").select("id", "published", F.get("descriptions", 0)["value"].alias("description"),
                          F.size("references").alias("n_references"))
 
 
 @query
 def src_epss_feed(spark, d):
-    return view(spark, d, "v_epss").select("cve", "epss")
+    landed = scratch(spark)
+    view(spark, d, "v_epss").select("cve", "epss").write.option("header", True).csv(landed)
+    return tables.src_epss_feed(spark, landed)
 
 
 @query
@@ -292,7 +297,7 @@ def validate_registrations(spark, d):
 @query
 def validate_text(spark, d):
     return req.validate_text(texts(spark, d)).select(
-        "text_id", F.char_length("text").alias("chars"), "ok", F.col("reason").isNull().alias("no_reason"))
+        "text_id", F.char_length("text").alias("chars"), "ok", "reason")
 
 
 @query
@@ -754,14 +759,10 @@ def stream_audit_append(spark, d):
 
 @query
 def stream_subscription_state(spark, d):
-    e = stream_of(spark, d, "v_payment_events", "orders")
-    nested = e.select("seq", "ts", "event_type", F.struct(
-        F.col("res_id").alias("id"), "custom_id", F.col("agreement_id").alias("billing_agreement_id"), "invoice_id",
-        F.struct(F.col("sub_email").alias("email_address")).alias("subscriber"),
-        F.struct("total", F.col("val").alias("value")).alias("amount")).alias("resource"))
+    nested = nested_events(stream_of(spark, d, "v_payment_events", "orders"))
     out = scratch(spark)
     streams.stream_subscription_state(nested, users(spark, d), out + "/state", out + "/check").awaitTermination()
-    return spark.read.parquet(out + "/state/version=0")
+    return streams.state_now(spark, out + "/state")
 
 
 # ---- one width for counts and positions ----------------------------------------------------------------

@@ -247,19 +247,24 @@ VIEWS: dict[str, str] = {
                CASE o_orderkey % 9 WHEN 0 THEN 'BILLING.SUBSCRIPTION.ACTIVATED' WHEN 1 THEN 'BILLING.SUBSCRIPTION.RENEWED'
                     WHEN 2 THEN 'PAYMENT.SALE.COMPLETED' WHEN 3 THEN 'BILLING.SUBSCRIPTION.PAYMENT.FAILED'
                     WHEN 4 THEN 'BILLING.SUBSCRIPTION.CANCELLED' WHEN 5 THEN 'PAYMENT.CAPTURE.COMPLETED'
-                    WHEN 6 THEN 'BILLING.SUBSCRIPTION.SUSPENDED' WHEN 7 THEN 'USER_CANCELLED' ELSE 'MANUAL' END AS event_type,
+                    WHEN 6 THEN 'BILLING.SUBSCRIPTION.SUSPENDED' WHEN 7 THEN
+                         CASE WHEN o_orderkey % 2 = 0 THEN 'USER_CANCELLED' ELSE 'ORDER_CAPTURED' END
+                    ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'MANUAL' ELSE 'SUBSCRIPTION_ACTIVATED' END END AS event_type,
                CASE WHEN o_orderkey % 9 IN (0, 3, 4, 6) THEN
                          CASE WHEN o_orderkey % 2 = 0 THEN concat('S', cast(o_custkey % 40 AS string))
                               ELSE concat('S', cast(o_custkey AS string)) END
                     WHEN o_orderkey % 9 = 1 THEN concat('S', cast(o_custkey AS string))
-                    WHEN o_orderkey % 9 = 5 THEN concat('ORD', cast(o_orderkey AS string)) ELSE '' END AS res_id,
+                    WHEN o_orderkey % 9 = 5 OR o_orderkey % 18 = 7 THEN concat('ORD', cast(o_orderkey AS string))
+                    WHEN o_orderkey % 9 = 7 OR o_orderkey % 18 = 17 THEN concat('S', cast(o_custkey % 40 AS string)) ELSE '' END AS res_id,
                CASE WHEN o_orderkey % 9 IN (0, 5, 7, 8) AND o_orderkey % 4 <> 3 THEN concat('u', cast(o_custkey % 60 AS string))
                     ELSE '' END AS custom_id,
                CASE WHEN o_orderkey % 9 = 2 THEN concat('S', cast(o_custkey % 40 AS string)) ELSE NULL END AS agreement_id,
                CASE WHEN o_orderkey % 9 = 5 THEN concat('u', cast(o_custkey AS string)) END AS invoice_id,
                CASE WHEN o_orderkey % 9 = 0 THEN concat('u', cast(o_custkey % 200 AS string)) END AS sub_email,
                CASE WHEN o_orderkey % 5 = 0 THEN cast(o_custkey AS string) ELSE '' END AS total,
-               CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(cast(o_custkey % 90 AS string), '.50') END AS val
+               CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(cast(o_custkey % 90 AS string), '.50') END AS val,
+               CASE WHEN o_orderkey % 18 = 17 THEN CASE o_orderkey % 3 WHEN 0 THEN 'annual' ELSE CASE WHEN o_orderkey % 5 < 2 THEN 'annual'
+                    WHEN o_orderkey % 5 = 2 THEN '' ELSE 'monthly' END END END AS billing
         FROM {orders}""",
     "v_payments": """
         SELECT concat('u', cast(o_custkey AS string)) AS user_id,

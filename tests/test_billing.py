@@ -2,7 +2,8 @@ import datetime as dt
 import random
 
 from ironquill.operators import billing
-from ironquill.rules.plan_limits import EV_ACTIVATED, EV_CANCELLED, EV_CAPTURE, EV_FAILED, EV_RENEWED
+from ironquill.rules.plan_limits import (
+    EV_ACTIVATED, EV_CANCELLED, EV_CAPTURE, EV_CHECKOUT, EV_FAILED, EV_ORDER_CAPTURED, EV_RENEWED, EV_USER_CANCEL)
 
 D = dt.date
 USERS = ("id string, plan string, is_pro boolean, trial_active boolean, trial_start_date date, trial_end_date date, "
@@ -103,3 +104,16 @@ def test_unknown_subscription_and_amounts(spark):
     rev = billing.revenue_monthly(log).collect()
     assert sorted((r.event_type, float(r.revenue), r.payments) for r in rev) == [
         (EV_RENEWED[0], 9.0, 1), (EV_RENEWED[1], 8.5, 1)]
+
+
+def test_checkout_events_keep_billing_and_amount(spark):
+    schema = EVENTS.replace("value:string>>", "value:string>,billing:string>")
+    rows = [event(1, EV_CHECKOUT, "S1", "a", value="99.00"), event(2, EV_CHECKOUT, "S2", "b", value="9.00"),
+            event(3, EV_ORDER_CAPTURED, "O1", "c", value="9.00"), event(4, EV_USER_CANCEL, "S2", "b")]
+    billed = [(*r[:3], (*r[3], kind)) for r, kind in zip(rows, ("annual", "monthly", None, None))]
+    e, u = spark.createDataFrame(billed, schema), spark.createDataFrame([user("a"), user("b"), user("c")], USERS)
+    got = {r.id: (r.subscription_billing, r.subscription_renewed_at, r.paypal_order_id, r.subscription_status)
+           for r in billing.subscription_state(e, u).collect()}
+    assert got == {"a": ("annual", "2024-01-01", None, "ACTIVE"), "b": ("monthly", None, "", "CANCELLING"), "c": (None, None, "O1", None)}
+    log = {r.seq: (r.user_id, r.amount, r.subscription_id, r.order_id) for r in billing.payments_log(e, u).collect()}
+    assert log == {1: ("a", "99.00", "S1", None), 2: ("b", "9.00", "S2", None), 3: ("c", "9.00", None, "O1"), 4: ("b", "", "S2", None)}

@@ -44,3 +44,12 @@ def test_unknown_users_count_against_the_free_plan(spark):
     users = spark.createDataFrame([], "id string, plan string")
     got = usage.quota_check(asked, users).orderBy("req_id").collect()
     assert [r["allowed"] for r in got] == [True] * 5 + [False] * 2 and {r["plan"] for r in got} == {"free"}
+
+
+def test_feed_lines_that_are_no_json_are_reported(spark, tmp_path):
+    from ironquill.sources.tables import cve_feed_rejects, src_cve_feed
+
+    feed = tmp_path / "feed.json"
+    feed.write_text('{"cve": {"id": "A"}}\n{"cve": {"id": \n{"vulnerabilities": [{"cve": {"id": "B"}}, {"cve": {"id": "C"}}]}\n')
+    assert sorted(r.id for r in src_cve_feed(spark, str(feed)).select("cve.id").collect()) == ["A", "B", "C"]
+    assert [r.line for r in cve_feed_rejects(spark, str(feed)).collect()] == ['{"cve": {"id": ']
