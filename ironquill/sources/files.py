@@ -30,8 +30,8 @@ def is_manifest(path: Column) -> Column:
     return basename(path).isin(*MANIFESTS) & ~in_dirs(path, MANIFEST_SKIP_DIRS)
 
 
-def list_corpus(spark: SparkSession, repos: dict[str, str]) -> DataFrame:
-    """Walk each repository directory in a task: repo, root, path, is_link, size."""
+def list_corpus(spark: SparkSession, repos: dict[str, str], skip_dirs=()) -> DataFrame:
+    """Walk each repository directory in a task: repo, root, path, is_link, size; ``skip_dirs`` are not entered."""
 
     def walk(batches):
         import os
@@ -42,7 +42,8 @@ def list_corpus(spark: SparkSession, repos: dict[str, str]) -> DataFrame:
         for pdf in batches:
             rows = []
             for repo, root in zip(pdf["repo"], pdf["root"]):
-                for here, _dirs, files in os.walk(root):
+                for here, below, files in os.walk(root):
+                    below[:] = [name for name in below if name not in skip_dirs]
                     for name in files:
                         full = os.path.join(here, name)
                         try:
@@ -90,7 +91,8 @@ def src_file_corpus(spark: SparkSession, repos: dict[str, str], selected=None) -
     path, size = F.col("path"), F.col("size")
     wanted = selected(path, size) if selected else (scannable(path, size) | is_manifest(path))
     # Spread the files by name, so that one huge repository is read by many tasks.
-    return list_corpus(spark, repos).filter(wanted).repartition("repo", "path").mapInPandas(read, FILE_SCHEMA)
+    skipped = () if selected else tuple(set(SCAN_SKIP_DIRS) & set(MANIFEST_SKIP_DIRS))
+    return list_corpus(spark, repos, skipped).filter(wanted).repartition("repo", "path").mapInPandas(read, FILE_SCHEMA)
 
 
 def decode_content(binary: Column) -> Column:
