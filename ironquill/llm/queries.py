@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ironquill.llm import html_extract, toxicity, warc
 from ironquill.llm.bpe import encoded
+from ironquill.llm.decontaminate import contamination
 from ironquill.llm.exact_dedup import exact_groups
 from ironquill.llm.license_scan import licenses
 from ironquill.llm.mixing import replicate
+from ironquill.llm.oracle_sql import contamination_sql, spelling_sql, vector_codes_sql
 from ironquill.llm.secret_scan import BASE_RULES, RULES, secret_spans, span_text
 from ironquill.llm.shared import hexed, table
 from ironquill.llm.simhash import near_groups
+from ironquill.llm.spelling import variants
+from ironquill.llm.vector_codes import vector_codes
 from ironquill.llm.winnow import edited_likeness
 
 #: Shares of the mixture, in documents; the other sources share what is left.
@@ -84,6 +88,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("_rate", 9).alias("rate"), F.col("_place").alias("place"), "text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every embedding without null, NaN or infinite components; null labels are one label."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots; null texts have no words."""
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its words inside windows of benchmark items, and these items; null texts have no words."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
+                        F.size("_items").cast("long").alias("n_items"), hexed(F.array_join("_items", ",")).alias("items_sha256"),
+                        (F.col("_n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_source_mixing": op10_source_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_benchmark_contamination": op13_benchmark_contamination,
 }
 
 def _span_sql() -> str:
@@ -144,4 +169,7 @@ ORACLES: dict[str, str] = {
         select doc_id, source, copy::int as copy, copies::int as copies, round(rate, 9) as rate,
                md5('mix-1:place:' || doc_id || ':' || copy) as place, text
         from counted, lateral (select unnest(generate_series(1, copies)) as copy)""",
+    "op11_vector_codes": vector_codes_sql(),
+    "op12_spelling_variants": spelling_sql(),
+    "op13_benchmark_contamination": contamination_sql(),
 }
