@@ -13,6 +13,7 @@ import heapq
 import itertools
 import json
 import mmap
+import re
 import struct
 import unicodedata
 import uuid
@@ -52,7 +53,7 @@ class Vocabulary:
 
     tokens: list[str]
     ids: dict[str, int]
-    merges: dict[int, tuple[int, int]]
+    merges: dict[int, int]
     special: dict[str, int]
     suffix: str
     pattern: regex.Pattern
@@ -73,7 +74,7 @@ class Vocabulary:
         merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            merges[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
+            merges[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
         special = {x["content"]: x["id"] for x in config["added_tokens"]}
         tokens = [""] * (1 + max(max(ids.values()), *special.values()))
         for t, i in (ids | special).items():
@@ -84,27 +85,28 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair with the lowest rank is merged, leftmost first, while there is one."""
-        n = len(word)
         ids = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges, heap = self.merges, []
         for i in range(n - 1):
-            if found := merges.get(ids[i] << 32 | ids[i + 1]):
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+            if (found := merges.get(ids[i] << 32 | ids[i + 1])) is not None:
+                heap.append((found, i, ids[i], ids[i + 1]))
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            found, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue  # one of the two has been merged since
+            made = found & 0xFFFFFFFF
             ids[i], ids[j], after[i] = made, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if found := merges.get(made << 32 | ids[after[i]]):
-                    heapq.heappush(heap, (found[0], i, made, ids[after[i]], found[1]))
+                if (found := merges.get(made << 32 | ids[after[i]])) is not None:
+                    heapq.heappush(heap, (found, i, made, ids[after[i]]))
             h = before[i]
-            if h >= 0 and (found := merges.get(ids[h] << 32 | made)):
-                heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
+            if h >= 0 and (found := merges.get(ids[h] << 32 | made)) is not None:
+                heapq.heappush(heap, (found, h, ids[h], made))
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -116,13 +118,23 @@ class Splitter:
     """Cuts a text into the words that are encoded alone, and special tokens."""
 
     #: Here lower-casing and letter classes are the same in every Unicode version, and nothing composes.
-    _PLAIN = regex.compile("[\x00-˿‐-‧‰-⁞€]*")
+    _PLAIN = "\x00-˿‐-‧‰-⁞€"
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")")
         self.whole = None
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
+        self.plain = re.compile(f"[{self._PLAIN}]*").fullmatch
+        self.find = re.compile(self._plain_pattern(vocabulary.pattern.pattern)).findall
+
+    def _plain_pattern(self, pattern: str) -> str:
+        """The vocabulary's pattern for plain texts, its classes spelt out for the faster of two libraries."""
+        letters = sorted({x for c in range(0x20AD) if self.plain(chr(c)) for x in chr(c).lower()})
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            own = "".join(rf"\u{ord(c):04x}" for c in letters if regex.match(name, c))
+            pattern = pattern.replace(f"[{name}]", f"[{own}]").replace(name, own)
+        return pattern
 
     def words(self, text: str) -> list[str]:
         """Words and special tokens; no word looks like one of these."""
@@ -132,8 +144,8 @@ class Splitter:
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self._cut(part))]
 
     def _cut(self, text: str) -> list[str]:
-        if text.isascii() or self._PLAIN.fullmatch(text):
-            return self.vocabulary.pattern.findall(text.lower())
+        if text.isascii() or self.plain(text):
+            return self.find(text.lower())
         if self.whole is None:
             from tokenizers import Tokenizer
 
@@ -230,13 +242,13 @@ class Lexicon:
 
 
 class Encoder(dict):
-    """Ids by word, remembered: from the lexicon, or merged."""
+    """Ids by word as little-endian 32-bit numbers, remembered: from the lexicon, or merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         super().__init__()
         self.vocabulary, self.lexicon, self.splitter = vocabulary, lexicon, Splitter(vocabulary)
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if word in self.vocabulary.special:
             ids = [self.vocabulary.special[word]]
         else:
@@ -246,11 +258,14 @@ class Encoder(dict):
                 ids = self.vocabulary.merge(raw)
         if len(self) >= _REMEMBERED:
             self.clear()
-        self[word] = ids
-        return ids
+        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.splitter.words(text)))
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(map(self.__getitem__, self.splitter.words(text))))
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
@@ -299,8 +314,8 @@ def ship_lexicon(spark: SparkSession, data: bytes) -> str:
 
 
 def encoded(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
-            most: int = LEXICON_WORDS) -> DataFrame:
-    """Of each row the columns ``carry``, its ids, the same as little-endian 32-bit numbers, and the decoded text.
+            most: int = LEXICON_WORDS, lists: bool = True) -> DataFrame:
+    """Of each row the columns ``carry``, its ids (without ``lists`` null), the same as little-endian 32-bit numbers, and the decoded text.
 
     Ids are those of the vocabulary's own tokenizer without added special
     tokens; strings of special tokens in a text become such tokens. A null
@@ -318,12 +333,13 @@ def encoded(docs: DataFrame, vocabulary_path: str, text_col: str = "text", carry
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                tokens = [encoder.encode(x.as_py()) for x in part.column(len(carry))]
-                ids = [np.array(x, "<i4") for x in tokens]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                decoded = pa.array([encoder.vocabulary.decode(x) for x in tokens], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(carry)], lists, pa.array([x.tobytes() for x in ids], pa.binary()), decoded], [*carry, "_ids", "_ids_le", "_decoded"])
+                packed = [encoder.packed(x.as_py()) for x in part.column(len(carry))]
+                ids = pa.nulls(part.num_rows, pa.list_(pa.int32()))
+                if lists:
+                    ends = np.cumsum([0] + [len(x) // 4 for x in packed])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                decoded = pa.array([encoder.vocabulary.decode(np.frombuffer(x, "<u4").tolist()) for x in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], ids, pa.array(packed, pa.binary()), decoded], [*carry, "_ids", "_ids_le", "_decoded"])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(carry)], *added]))
 

@@ -76,8 +76,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encoded(table(spark, sf_dir, "documents"), vocabulary_path())
-    return found.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2("_ids_le", 256).alias("ids_sha256"),
+    """Ids and decoded text of every document, hashed; a null text has no tokens."""
+    found = encoded(table(spark, sf_dir, "documents"), vocabulary_path(), lists=False)
+    return found.select("doc_id", (F.octet_length("_ids_le") / 4).cast("long").alias("n_tokens"), F.sha2("_ids_le", 256).alias("ids_sha256"),
                         hexed(F.col("_decoded")).alias("decoded_sha256"))
 
 

@@ -76,6 +76,15 @@ def reduced(word: str, symbols: int = SYMBOLS) -> np.ndarray:
     return 1 + ((letters * _BASE) >> np.uint64(40)) % np.uint64(symbols)
 
 
+def _powers(length: int) -> np.ndarray:
+    return np.cumprod(np.full(length, _BASE)) * np.uint64(length | 1)
+
+
+def own_key(word: str, symbols: int = SYMBOLS) -> np.uint64:
+    """Key of the reduced word, as in its neighbourhood."""
+    return (reduced(word, symbols) * _powers(len(word))).sum(dtype=np.uint64)
+
+
 def neighbourhood(word: str, symbols: int = SYMBOLS) -> tuple[np.uint64, np.ndarray, np.ndarray]:
     """Keys of the reduced word, of all words that replace one symbol of it, and of all that leave one out.
 
@@ -84,9 +93,8 @@ def neighbourhood(word: str, symbols: int = SYMBOLS) -> tuple[np.uint64, np.ndar
     long the word is. Leaving out any of equal neighbours gives the same word.
     """
     s = reduced(word, symbols)
-    powers = np.cumprod(np.full(len(s), _BASE)) * np.uint64(len(s) | 1)
-    terms = s * powers
-    key = terms.sum(dtype=np.uint64)
+    powers = _powers(len(s))
+    key = (s * powers).sum(dtype=np.uint64)
     change = (np.arange(1, symbols + 1, dtype=np.uint64)[None, :] - s[:, None])
     replaced = (key + change * powers[:, None])[change != 0]
     shorter = np.cumprod(np.full(len(s), _BASE)) * np.uint64((len(s) - 1) | 1)
@@ -112,7 +120,7 @@ def _keys(symbols: int, every: bool):
 
             short = pa.array([w if len(w) <= _INLINE else None for w in batch.column(1).to_pylist()], pa.string())
             for n, word in enumerate(batch.column(1).to_pylist()):
-                key, replaced, left_out = neighbourhood(word, symbols)
+                key, replaced, left_out = neighbourhood(word, symbols) if every else (own_key(word, symbols), (), ())
                 own = np.concatenate([[key], replaced, left_out]) if every else np.array([key])
                 for at in range(0, len(own), _ROWS):
                     part = own[at : at + _ROWS]
