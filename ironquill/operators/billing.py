@@ -9,6 +9,7 @@ from ..functions.bind import bind
 from ..rules.plan_limits import (
     EV_ACTIVATED, EV_CANCELLED, EV_CAPTURE, EV_CHECKOUT, EV_FAILED, EV_MANUAL, EV_ORDER_CAPTURED, EV_RENEWED,
     EV_USER_CANCEL, TRIAL_DAYS)
+from ..session import keep_result
 from .sliced import carry_last
 from .usage import _day, plan_label, plan_of
 
@@ -87,36 +88,89 @@ def subscription_lookup(events: DataFrame, users: DataFrame) -> tuple[DataFrame,
             named.join(holders, "subscription_id", "left_anti"))
 
 
+def _answers():
+    """Joins and leaves of subscriptions, sorted -> after each place, the smallest user id that holds the subscription.
+
+    Only the current holders of one subscription are held, so a subscription
+    may have had any number of them.
+    """
+    def run(batches):
+        import heapq
+
+        import pandas as pd
+
+        sub, seq, holders, smallest = None, None, set(), []
+
+        def answer():
+            while smallest and smallest[0] not in holders:
+                heapq.heappop(smallest)
+            return smallest[0] if smallest else None
+
+        for pdf in batches:
+            out = []
+            for s, q, user, joins in zip(pdf["subscription_id"], pdf["seq"].tolist(), pdf["user_id"], pdf["joins"].tolist()):
+                if seq is not None and (s, q) != (sub, seq):
+                    out.append((sub, seq, answer()))
+                if s != sub:
+                    holders, smallest = set(), []
+                sub, seq = s, q
+                if not joins:
+                    holders.discard(user)
+                elif user not in holders:
+                    holders.add(user)
+                    heapq.heappush(smallest, user)
+            yield pd.DataFrame(out, columns=["subscription_id", "seq", "user_id"])
+        if seq is not None:
+            yield pd.DataFrame([(sub, seq, answer())], columns=["subscription_id", "seq", "user_id"])
+
+    return run
+
+
+def holdings(grants: DataFrame, initial: DataFrame, slice_events: int) -> DataFrame:
+    """``subscription_id, seq, user_id``: who answers for a subscription after each place where its holders change.
+
+    ``grants`` (``seq, user_id, subscription_id``) are activations, ``initial``
+    (``user_id, subscription_id``) what users hold before.  A grant ends what
+    the user held.  Of several holders the smallest id answers; null: nobody.
+    """
+    held = initial.select(F.lit(-1).cast("bigint").alias("seq"), "user_id", "subscription_id").unionByName(grants).withColumn(
+        "_slice", F.floor(F.col("seq") / slice_events))
+    moved = carry_last(held, ["user_id"], "_slice", "seq", "subscription_id", "_left").filter(
+        ~F.col("subscription_id").eqNullSafe(F.col("_left")))
+    moves = moved.select("seq", "user_id", F.explode(F.array(
+        F.struct(F.col("subscription_id").alias("subscription_id"), F.lit(True).alias("joins")),
+        F.struct(F.col("_left").alias("subscription_id"), F.lit(False).alias("joins")))).alias("_m")).select(
+            "seq", "user_id", "_m.*").filter(F.col("subscription_id").isNotNull())
+    return (moves.repartition("subscription_id").sortWithinPartitions("subscription_id", "seq")
+            .mapInPandas(_answers(), "subscription_id string, seq bigint, user_id string"))
+
+
 def routed_events(events: DataFrame, users: DataFrame, slice_events: int = 1_000_000) -> DataFrame:
     """Events with the user they apply to at their place in the sequence.
 
     A user holds the subscription of their last activation before the event,
-    or the one stored with them.  Activations and events of each (user,
-    subscription) candidate pair are put in one sequence per user, in which the
-    held subscription is carried forward by slices of the sequence.
+    or the one stored with them.  The places where a subscription changes hands
+    and the events that name it are put in one sequence, in which the user who
+    answers is carried forward by slices: an event meets one user, however
+    many have held its subscription, and a subscription with a third of all
+    events is sorted in pieces.
     """
-    flat = event_keys(events)
+    flat = keep_result(event_keys(events))
     known = users.select(F.col("id").alias("user_id"))
     direct = flat.filter("by_user").join(known, F.col("ref_user") == F.col("user_id")).drop("ref_user")
-    grants = direct.filter(F.col("event_type").isin(EV_ACTIVATED, EV_CHECKOUT)).select(
-        "seq", "ts", "user_id", F.col("subscription_id").alias("_held"))
-    initial = users.select(F.col("id").alias("user_id"), _given(F.col("paypal_subscription_id")).alias("_initial"))
-    pairs = (grants.select("user_id", F.col("_held").alias("subscription_id"))
-             .unionByName(initial.filter(F.col("_initial").isNotNull()).select(
-                 "user_id", F.col("_initial").alias("subscription_id"))).distinct())
-    asked = flat.filter(~F.col("by_user")).drop("ref_user").join(pairs, "subscription_id")
-    line = grants.unionByName(asked, allowMissingColumns=True).withColumn(
+    grants = direct.filter(F.col("event_type").isin(EV_ACTIVATED, EV_CHECKOUT)).select("seq", "user_id", "subscription_id")
+    initial = users.select(F.col("id").alias("user_id"), _given(F.col("paypal_subscription_id")).alias("subscription_id")).filter(
+        F.col("subscription_id").isNotNull())
+    changes = keep_result(holdings(grants, initial, slice_events)).select(
+        "subscription_id", "seq", F.struct("user_id").alias("_held"))
+    line = changes.unionByName(flat.filter(~F.col("by_user")).drop("ref_user"), allowMissingColumns=True).withColumn(
         "_slice", F.floor(F.col("seq") / slice_events))
-    carried = carry_last(line, ["user_id"], "_slice", "seq", "_held", "_now")
-    holding = carried.filter(F.col("event_type").isNotNull()).join(initial, "user_id").filter(
-        F.coalesce("_now", "_initial") == F.col("subscription_id"))
-    # Two holders at once: the smallest user id answers, as in the lookup.
-    facts = ["ts", "event_type", "subscription_id", "order_id", "amount", "billing", "by_user"]
-    chosen = holding.groupBy("seq").agg(F.min("user_id").alias("user_id"), *[F.first(c).alias(c) for c in facts])
-    return direct.unionByName(chosen)
+    carried = carry_last(line, ["subscription_id"], "_slice", "seq", "_held", "_now")
+    asked = carried.filter(F.col("event_type").isNotNull() & F.col("_now.user_id").isNotNull())
+    return direct.unionByName(asked.withColumn("user_id", F.col("_now.user_id")).select(direct.columns))
 
 
-def _updates() -> dict[str, Column]:
+def column_writes() -> dict[str, Column]:
     """Per user column: the value an event writes; null where it writes none."""
     kind = F.col("event_type")
     activated, checkout, manual = kind == EV_ACTIVATED, kind == EV_CHECKOUT, kind == EV_MANUAL
@@ -153,7 +207,7 @@ def latest_updates(routed: DataFrame) -> DataFrame:
     order: no per-user replay, and a user with most of the events is no
     heavier than any other after the map side.
     """
-    writes = _updates()
+    writes = column_writes()
     marked = routed.select("user_id", "seq", *[v.alias(c) for c, v in writes.items()])
     return marked.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"), F.max("seq").alias("last_seq"),

@@ -1,8 +1,10 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,20 +21,30 @@ def build_session(app: str = "ironquill", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def keep_result(df: DataFrame) -> DataFrame:
-    """Compute once what several queries read.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that executors share, removed when the application ends.
 
-    In the folder that the cluster names in ``spark.checkpoint.dir`` if there is
-    one, so that a lost executor costs nothing; else cached, which Spark
-    recomputes where it is lost.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``.
+    Where that is unset, a local session gets a folder of its own; a cluster
+    must name one, and not a machine's own.
     """
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    if context.getCheckpointDir() is not None:
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    base, local = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master.startswith("local")
+    if not local and (not base or base.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="ironquill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def keep_result(df: DataFrame) -> DataFrame:
+    """Compute once what several queries read: a table in the shared folder, so that a lost executor costs nothing."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,72 +1,57 @@
 """Structured Streaming forms of the operators.
 
 Late rows: a ten-minute watermark on ``ts``; rows behind it are dropped by
-stateful operators (Spark counts them in the query progress).
+stateful operators and counted by :func:`late_rows`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.billing import STATE_COLUMNS, subscription_state
+from ..operators.billing import STATE_COLUMNS, column_writes, event_keys
 from ..operators.requests import limits_table, verdicts, with_rate_key, injection_filter
 from ..operators.secrets import rule_hints, secret_match
 from ..functions.text import redact
-from ..rules.plan_limits import RATE_WINDOW_SECONDS
+from ..rules.plan_limits import EV_ACTIVATED, EV_CHECKOUT, RATE_WINDOW_SECONDS
 from ..rules.secret_rules import SECRET_RULES
 from ..sources.files import scan_files, src_lines
 from ..sources.sinks import log_rows, sink_upsert_usage
+from .stateful import HELD_REQUESTS, Answers, LastWrites, Moves, RateWindows, use_rocksdb
 
 WATERMARK = "10 minutes"
 
 
 def stream_rate_limit(requests: DataFrame, limits: DataFrame | None = None,
-                      window: int = RATE_WINDOW_SECONDS) -> DataFrame:
+                      window: int = RATE_WINDOW_SECONDS, held: int = HELD_REQUESTS) -> DataFrame:
     """Verdicts for a request stream; the state per (ip, bucket) is window start and count.
 
-    Requests of one trigger are put in time order per key.  A state whose
-    window has passed the watermark is dropped: the next request would open a
-    new window anyway.
+    Requests of one trigger are judged in time order per key, at once: a
+    verdict does not wait for the watermark.  :func:`late_rows` counts the
+    requests behind it.
     """
     window_us = window * 1_000_000
-
-    def number(key, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["t", "req_id"], kind="stable")
-        start, count = state.get if state.exists else (None, 0)
-        starts, counts = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        for i, t in enumerate(rows["t"].tolist()):
-            if start is None or t - start > window_us:
-                start, count = t, 1
-            else:
-                count += 1
-            starts[i], counts[i] = start, count
-        state.update((start, count))
-        ends_ms = (start + window_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"req_id": rows["req_id"].to_numpy(), "ip": key[0], "bucket": key[1],
-                            "t": rows["t"].to_numpy(), "window_start": starts, "n": counts,
-                            "max_requests": rows["max_requests"].to_numpy()})
-
+    use_rocksdb(requests.sparkSession)
     limits = limits_table(requests.sparkSession) if limits is None else limits
     keyed = with_rate_key(requests.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", WATERMARK)
     rows = keyed.join(limits, "bucket", "left").select(
         "req_id", "ip", "bucket", "ts", F.unix_micros("ts").alias("t"), "max_requests")
-    numbered = rows.groupBy("ip", "bucket").applyInPandasWithState(
-        number, "req_id bigint, ip string, bucket string, t bigint, window_start bigint, n bigint, max_requests int",
-        "start bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    numbered = rows.groupBy("ip", "bucket").transformWithState(
+        RateWindows(window_us, held), RateWindows.SCHEMA, "Append", "EventTime")
     return verdicts(numbered, window_us)
 
 
+def late_rows(query) -> DataFrame:
+    """``batch, operator, dropped``: rows behind the watermark that a query's stateful operators have dropped, per batch.
+
+    From the progress that Spark keeps of the latest batches
+    (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    rows = [(p.batchId, op.operatorName, op.numRowsDroppedByWatermark)
+            for p in query.recentProgress for op in p.stateOperators if op.numRowsDroppedByWatermark]
+    return SparkSession.active().createDataFrame(rows, "batch bigint, operator string, dropped bigint")
+
+
 def stream_usage_daily(requests: DataFrame) -> DataFrame:
     """Requests per user and day; a day is final once the watermark has passed it."""
     return (requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
@@ -121,34 +106,51 @@ def stream_usage_upsert(requests: DataFrame, path: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_subscription_state(events: DataFrame, users: DataFrame, path: str, checkpoint: str):
-    """Keep the users' subscription state up to date from a payment event stream.
+def subscription_updates(events: DataFrame, users: DataFrame) -> DataFrame:
+    """The users that payment events change, as they stand after each trigger: ``id, last_seq`` and the state's columns.
 
-    Each batch reads state version ``batch_id`` - 1 (or ``users``), applies its
-    events in sequence order and writes version ``batch_id``; a replay rewrites
-    the same version.  Events must not arrive earlier than already applied
-    ones: sequence numbers rise across batches.
+    Three kinds of state: the subscription that a user holds, the holders of a
+    subscription, and the last write of each of a user's columns.  All start
+    from ``users``.  Nothing else of the users is read or written again.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else users.select(
-            "id", *[F.col(c) if c in users.columns else F.lit(None).cast("string").alias(c) for c in STATE_COLUMNS])
-        subscription_state(batch, base).drop("events").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    use_rocksdb(events.sparkSession)
+    flat = event_keys(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    facts = list(Answers.FACTS)
+    ids = users.select(F.col("id").alias("user_id"))
+    held = users.select(F.col("id").alias("user_id"), F.nullif("paypal_subscription_id", F.lit("")).alias("subscription_id")).filter(
+        F.col("subscription_id").isNotNull())
+    direct = flat.filter("by_user").join(ids, F.col("ref_user") == F.col("user_id")).select("user_id", *facts)
+    grants = direct.filter(F.col("event_type").isin(EV_ACTIVATED, EV_CHECKOUT)).select("user_id", "seq", "subscription_id")
+    moves = grants.groupBy("user_id").transformWithState(Moves(), Moves.SCHEMA, "Append", "None", initialState=held.groupBy("user_id"))
+    lines = moves.unionByName(flat.filter(~F.col("by_user")).select(*facts), allowMissingColumns=True)
+    answered = lines.groupBy("subscription_id").transformWithState(
+        Answers(), Answers.SCHEMA, "Append", "None", initialState=held.groupBy("subscription_id"))
+    writes = direct.unionByName(answered).select("user_id", "seq", *[v.cast("string").alias(c) for c, v in column_writes().items()])
+    stored = users.select(F.col("id").alias("user_id"), *[
+        (F.col(c) if c in users.columns else F.lit(None)).cast("string").alias(c) for c in STATE_COLUMNS])
+    last = LastWrites(STATE_COLUMNS)
+    return writes.groupBy("user_id").transformWithState(last, last.schema, "Append", "None", initialState=stored.groupBy("user_id"))
 
-    return (events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
 
+def stream_subscription_state(events: DataFrame, users: DataFrame, path: str, checkpoint: str):
+    """Keep the users' subscription state up to date from a payment event stream; :func:`state_now` reads it.
 
-def state_now(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the users' state."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    Each trigger appends the users that it changed, exactly once; a restart
+    goes on from the state in the checkpoint, and another checkpoint adds rows
+    without touching earlier ones.  Events must not arrive earlier than already
+    applied ones: sequence numbers rise across triggers.
+    """
+    return (subscription_updates(events, users).writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
 
 
-def run_available(stream: DataFrame, sink: Callable, checkpoint: str):
-    """Process what is there now with ``sink(batch, batch_id)`` and stop."""
-    query = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return query
+def state_now(spark: SparkSession, path: str, users: DataFrame) -> DataFrame:
+    """Users with their newest state: the row of the last event, or what is stored of a user without events."""
+    last = LastWrites(STATE_COLUMNS)
+    rows = spark.read.schema(last.schema).parquet(path)
+    newest = rows.groupBy("id").agg(F.max_by(F.struct(*STATE_COLUMNS), "last_seq").alias("_new"))
+    kinds = {f.name: f.dataType for f in users.schema}
+    stored = {c: F.col(c) if c in kinds else F.lit(None).cast("string") for c in STATE_COLUMNS}
+    return users.join(newest, "id", "left").select("id", *[
+        F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}").cast(kinds.get(c, "string"))).otherwise(stored[c]).alias(c)
+        for c in STATE_COLUMNS])

@@ -7,7 +7,6 @@ engine's result can be compared by value.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +20,7 @@ from ..operators.enrich import auto_fix, compliance_map
 from ..operators.paste import analyze_text, entropy_secrets, literal_rule_match
 from ..plans import composites
 from ..rules.scan_limits import FREE_FINDINGS
+from ..session import scratch_folder
 from ..sources import files as src
 from ..sources import manifests as man
 from ..sources import sinks, tables
@@ -54,14 +54,6 @@ def wide(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or in the warehouse; on a cluster neither may be a machine's own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 tree, files, texts, manifests = _v("v_tree"), _v("v_files"), _v("v_texts"), _v("v_manifests")
 users, usage_rows, scans, requests = _v("v_users"), _v("v_usage"), _v("v_scans"), _v("v_requests")
 declared, repos, burst, audit = _v("v_declared"), _v("v_repos"), _v("v_burst"), _v("v_audit")
@@ -154,7 +146,7 @@ for _fn in (man.src_requirements, man.src_package_json, man.src_package_lock, ma
 @query
 def src_cve_feed(spark, d):
     """The table as a feed of JSON lines, landed and read."""
-    landed = scratch(spark)
+    landed = scratch_folder(spark)
     cves_raw(spark, d).select(F.to_json(F.struct("cve"))).write.text(landed)
     return tables.src_cve_feed(spark, landed).select("cve.*").select("id", "published", F.get("descriptions", 0)["value"].alias("description"),
                          F.size("references").alias("n_references"))
@@ -162,7 +154,7 @@ def src_cve_feed(spark, d):
 
 @query
 def src_epss_feed(spark, d):
-    landed = scratch(spark)
+    landed = scratch_folder(spark)
     view(spark, d, "v_epss").select("cve", "epss").write.option("header", True).csv(landed)
     return tables.src_epss_feed(spark, landed)
 
@@ -179,7 +171,7 @@ QUERIES["src_tables"] = QUERIES.pop("src_tables_query")
 
 @query
 def sink_scan_results(spark, d):
-    out = scratch(spark)
+    out = scratch_folder(spark)
     sinks.sink_scan_results(scans(spark, d), out)
     back = spark.read.parquet(out)
     return back.groupBy(F.col("scan_date").cast("string").alias("scan_date")).agg(
@@ -188,7 +180,7 @@ def sink_scan_results(spark, d):
 
 @query
 def sink_upsert_usage(spark, d):
-    out = scratch(spark)
+    out = scratch_folder(spark)
     stream = stream_of(spark, d, "v_requests", "events").withColumn("org_id", F.col("user_id"))
     streams.stream_usage_upsert(stream, out + "/data", out + "/check").awaitTermination()
     return sinks.usage_view(spark, out + "/data").select("user_id", F.col("date").cast("string").alias("date"),
@@ -202,7 +194,7 @@ def sink_latest_state(spark, d):
 
 @query
 def sink_append_log(spark, d):
-    out = scratch(spark)
+    out = scratch_folder(spark)
     sinks.sink_append_log(audit(spark, d), out)
     return spark.read.parquet(out).select("id", "user_id", "action", "resource",
                                           F.char_length("metadata").alias("metadata_chars"))
@@ -718,7 +710,7 @@ def stream_of(spark, d, name: str, base: str) -> DataFrame:
 
 def drained(spark, stream: DataFrame) -> DataFrame:
     """Run a stream over what is there, into files, and read them back."""
-    out = scratch(spark)
+    out = scratch_folder(spark)
     (stream.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/check")
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream.schema).parquet(out + "/data")
@@ -732,7 +724,7 @@ def stream_rate_limit(spark, d):
 
 @query
 def stream_usage_daily(spark, d):
-    out = scratch(spark)
+    out = scratch_folder(spark)
     streams.stream_usage_open(stream_of(spark, d, "v_requests", "events"), out + "/data", out + "/check").awaitTermination()
     return streams.usage_now(spark, out + "/data").withColumn("date", F.col("date").cast("string"))
 
@@ -751,7 +743,7 @@ def stream_injection_alerts(spark, d):
 
 @query
 def stream_audit_append(spark, d):
-    out = scratch(spark)
+    out = scratch_folder(spark)
     streams.stream_audit_append(stream_of(spark, d, "v_audit", "events"), out + "/data", out + "/check").awaitTermination()
     return spark.read.parquet(out + "/data").select("id", "user_id", "action",
                                                     F.char_length("metadata").alias("metadata_chars"))
@@ -760,9 +752,9 @@ def stream_audit_append(spark, d):
 @query
 def stream_subscription_state(spark, d):
     nested = nested_events(stream_of(spark, d, "v_payment_events", "orders"))
-    out = scratch(spark)
+    out = scratch_folder(spark)
     streams.stream_subscription_state(nested, users(spark, d), out + "/state", out + "/check").awaitTermination()
-    return streams.state_now(spark, out + "/state")
+    return streams.state_now(spark, out + "/state", users(spark, d))
 
 
 # ---- one width for counts and positions ----------------------------------------------------------------

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -93,8 +94,33 @@ def test_subscription_stream_equals_batch(spark, tmp_path):
         land(spark.createDataFrame(part, EVENTS), tmp_path / "in")
         source = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
         streams.stream_subscription_state(source, users, f"{tmp_path}/s", f"{tmp_path}/c").awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/s/version=2")
-    assert states(last) == states(subscription_state(spark.createDataFrame(events, EVENTS), users))
+    want = states(subscription_state(spark.createDataFrame(events, EVENTS), users))
+    assert states(streams.state_now(spark, f"{tmp_path}/s", users)) == want
+    # Another checkpoint replays all events beside the first one's rows.
+    streams.stream_subscription_state(source, users, f"{tmp_path}/s", f"{tmp_path}/again").awaitTermination()
+    assert states(streams.state_now(spark, f"{tmp_path}/s", users)) == want
+
+
+def test_rate_limit_backlog_is_folded_in_parts(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [request(i, rng.randint(0, 400), peer="a" if i % 7 else "b") for i in range(300)]
+    land(spark.createDataFrame(rows, REQ), tmp_path / "in")
+    source = spark.readStream.schema(REQ).parquet(str(tmp_path / "in"))
+    out = drain(streams.stream_rate_limit(source, held=9), tmp_path)
+    assert numbers(out) == numbers(req.rate_limit_batch(spark.createDataFrame(rows, REQ)))
+
+
+def test_late_requests_are_counted(spark, tmp_path):
+    for n, seconds in enumerate(([0, 10], [2 * 86400], [20, 30], [2 * 86400 + 5])):
+        land(spark.createDataFrame([request(10 * n + i, s) for i, s in enumerate(seconds)], REQ), tmp_path / "in")
+        stream = streams.stream_rate_limit(spark.readStream.schema(REQ).parquet(str(tmp_path / "in")))
+        query = (stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        late = sum(r.dropped for r in streams.late_rows(query).collect())
+        assert late == (2 if n == 2 else 0)
+    kept = {(r.req_id, r.request_number) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()}
+    assert kept == {(0, 1), (1, 2), (10, 1), (30, 2)}
 
 
 def test_latest_state(spark):
