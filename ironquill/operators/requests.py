@@ -16,6 +16,7 @@ from ..rules.literal_rules import INJECTION_REGEXES
 from ..rules.plan_limits import RATE_LIMITS, RATE_WINDOW_SECONDS
 from ..rules.scan_limits import MAX_TEXT_CHARS, REPO_HOSTS, REPO_URL_PREFIX
 
+from .rate_windows import anchored_windows
 
 # ---- per-request columns ----------------------------------------------------
 
@@ -115,123 +116,19 @@ def with_rate_key(requests: DataFrame) -> DataFrame:
         "bucket": request_bucket(F.col("path"))})
 
 
-def _fold(window_us: int):
-    """Number the requests of each (ip, bucket, slice), which arrive sorted.
-
-    Only the running state crosses batches, so a group may be any size.
-    """
-    def run(batches):
-        import numpy as np
-
-        last, start, count = None, None, 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            keys = list(zip(pdf["ip"], pdf["bucket"], pdf["slice"]))
-            starts, counts = np.empty(n, np.int64), np.empty(n, np.int64)
-            entry = pdf["entry_start"].isna().to_numpy()
-            entry_start, entry_count = pdf["entry_start"].to_numpy(), pdf["entry_count"].to_numpy()
-            for i, (key, t) in enumerate(zip(keys, pdf["t"].tolist())):
-                if key != last:
-                    last, start = key, None
-                    if not entry[i]:
-                        start, count = int(entry_start[i]), int(entry_count[i])
-                if start is None or t - start > window_us:
-                    start, count = t, 1
-                else:
-                    count += 1
-                starts[i], counts[i] = start, count
-            yield pdf[["req_id", "ip", "bucket", "t"]].assign(window_start=starts, n=counts)
-
-    return run
-
-
-def _summarise(window_us: int):
-    """One hot slice -> for each possible first window start in it, the last one.
-
-    A window that began earlier ends within ``window_us`` of the slice's
-    begin, so only starts up to there (and the first after) are possible.
-    """
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        t = np.sort(pdf["t"].to_numpy())
-        n = len(t)
-        following = np.searchsorted(t, t + window_us, side="right").tolist()
-        exits = list(range(n))
-        for i in range(n - 1, -1, -1):
-            if following[i] < n:
-                exits[i] = exits[following[i]]
-        first = pdf.iloc[0]
-        horizon = int(first["slice_start"]) + window_us
-        k = min(n, int(np.searchsorted(t, horizon, side="left")) + 1)
-        at = np.asarray(exits[:k])
-        return pd.DataFrame({
-            "ip": first["ip"], "bucket": first["bucket"], "slice": first["slice"], "size": n,
-            "entry": t[:k], "exit_start": t[at], "exit_count": n - at})
-
-    return run
-
-
-def _compose(window_us: int):
-    """Thread the window state of one hot key through its slices."""
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["slice", "entry"], kind="stable")
-        rows, start, count = [], None, 0
-        for slice_id, part in pdf.groupby("slice", sort=True):
-            rows.append((slice_id, start, count))
-            entry = part["entry"].to_numpy()
-            i = 0 if start is None else int(np.searchsorted(entry, start + window_us, side="right"))
-            if i < len(entry):
-                start, count = int(part["exit_start"].iat[i]), int(part["exit_count"].iat[i])
-            else:
-                count += int(part["size"].iat[0])
-        out = pd.DataFrame(rows, columns=["slice", "entry_start", "entry_count"])
-        out["entry_start"] = out["entry_start"].astype("Int64")
-        out.insert(0, "bucket", pdf["bucket"].iat[0])
-        out.insert(0, "ip", pdf["ip"].iat[0])
-        return out
-
-    return run
-
-
 def rate_limit_batch(requests: DataFrame, limits: DataFrame | None = None, window: int = RATE_WINDOW_SECONDS,
-                     hot_rows: int = 5_000_000, slice_seconds: int = 10_800) -> DataFrame:
+                     slices: int | None = None) -> DataFrame:
     """Verdict per request under windows anchored at the first request of (ip, bucket).
 
     A window ends with the first request more than ``window`` seconds after
-    its start, and that request starts the next.  Keys up to ``hot_rows``
-    requests are streamed through one sorted pass.  Hotter keys are cut into
-    time slices: each slice is summarised on its own, the small summaries are
-    threaded together, then the slices are numbered in parallel.
+    its start, and that request starts the next.  A key may have any number of
+    requests (:mod:`rate_windows`).
     """
     window_us = window * 1_000_000
     limits = limits_table(requests.sparkSession) if limits is None else limits
     keyed = with_rate_key(requests).select(
         "req_id", "ip", "bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    hot_keys = keyed.groupBy("ip", "bucket").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") > hot_rows).select("ip", "bucket")
-    none = F.lit(None).cast("bigint")
-    cold = keyed.join(hot_keys, ["ip", "bucket"], "left_anti").select(
-        "*", F.lit(0).cast("bigint").alias("slice"), none.alias("entry_start"), none.alias("entry_count"))
-    width = slice_seconds * 1_000_000
-    hot = keyed.join(hot_keys, ["ip", "bucket"], "left_semi").withColumn(
-        "slice", F.floor(F.col("t") / width).cast("bigint"))
-    summary = hot.select("ip", "bucket", "slice", "t", (F.col("slice") * width).alias("slice_start")).groupBy(
-        "ip", "bucket", "slice").applyInPandas(
-        _summarise(window_us), "ip string, bucket string, slice bigint, size bigint, entry bigint, "
-                               "exit_start bigint, exit_count bigint")
-    entries = summary.groupBy("ip", "bucket").applyInPandas(
-        _compose(window_us), "ip string, bucket string, slice bigint, entry_start bigint, entry_count bigint")
-    rows = cold.unionByName(hot.join(entries, ["ip", "bucket", "slice"]))
-    numbered = (rows.repartition("ip", "bucket", "slice").sortWithinPartitions("ip", "bucket", "slice", "t", "req_id")
-                .mapInPandas(_fold(window_us), "req_id bigint, ip string, bucket string, t bigint, "
-                                               "window_start bigint, n bigint"))
+    numbered = anchored_windows(keyed, ["ip", "bucket"], "req_id", window_us, slices)
     return verdicts(numbered.join(limits, "bucket", "left"), window_us)
 
 

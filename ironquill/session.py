@@ -47,6 +47,14 @@ def keep_result(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once, and keep which rows are in which partition and in which order."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a table that is read in fewer pieces than there are cores.
 

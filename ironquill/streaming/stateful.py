@@ -5,16 +5,11 @@ State lies in RocksDB, so that only the keys of the rows at hand are in memory.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
-from pyspark import cloudpickle
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
-# Workers of stateful streams do not always have the driver's import path: the classes travel whole.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Requests of one key that a task holds before it puts them aside, by minute.
 HELD_REQUESTS = 100_000

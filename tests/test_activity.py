@@ -1,10 +1,13 @@
 import datetime as dt
+import functools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ironquill.operators import requests as req
 from ironquill.operators import usage
+from ironquill.operators.rate_windows import Steps, anchored_windows
 from ironquill.operators.sliced import carry_last, running_count
 
 T0 = dt.datetime(2024, 1, 1)
@@ -50,9 +53,44 @@ def test_rate_paths_agree_with_replay(spark):
     expected = replay(rows)
     assert any(not v[1] for v in expected.values())
     assert numbers(req.rate_limit_batch(df)) == expected
-    for width in (60, 100, 700):
-        assert numbers(req.rate_limit_batch(df, hot_rows=0, slice_seconds=width)) == expected
-    assert numbers(req.rate_limit_batch(df, hot_rows=400, slice_seconds=120)) == expected
+    for slices in (1, 3, 40):
+        assert numbers(req.rate_limit_batch(df, slices=slices)) == expected
+    # Slices shorter than a window, which outlasts several of them.
+    dense = [request(i, round(rng.uniform(0, 300), 1), "/", "a" if i % 9 else "b") for i in range(900)]
+    assert numbers(req.rate_limit_batch(spark.createDataFrame(dense, REQ), slices=50)) == replay(dense)
+
+
+def test_steps_compose_to_the_replay():
+    rng = random.Random(8)
+    for trial in range(300):
+        width, spread = rng.choice([1, 5, 20, 60]), rng.choice([20, 100, 400])
+        t = np.sort(np.array([rng.randint(0, spread) for _ in range(rng.randint(2, 60))]))
+        cuts = sorted({0, len(t), *(rng.randint(0, len(t)) for _ in range(4))})
+        parts = [Steps.of(t[a:b], width) for a, b in zip(cuts, cuts[1:]) if b > a]
+        start, count = None, 0
+        for x in t.tolist():
+            start, count = (x, 1) if start is None or x - start > width else (start, count + 1)
+        state = None
+        for p in parts:
+            state = p.end(state, width)
+        folded = functools.reduce(lambda a, b: a.then(b, width), parts)
+        backward = functools.reduce(lambda a, b: b.then(a, width), parts[::-1])
+        assert state == folded.end(None, width) == backward.end(None, width) == (start, count)
+        before = (int(t[0]) - rng.randint(0, width), rng.randint(1, 9))
+        one = before
+        for p in parts:
+            one = p.end(one, width)
+        assert folded.end(before, width) == backward.end(before, width) == one
+
+
+def test_a_key_over_many_slices(spark):
+    rows = spark.range(200_000).selectExpr("id as i", "'a' as k", "id * 7 % 1000003 as t")
+    got = anchored_windows(rows, ["k"], "i", 50, slices=30).agg(F.sum("n"), F.sum("window_start"), F.max("n")).first()
+    start, n, sums = None, 0, [0, 0, 0]
+    for x in sorted(i * 7 % 1000003 for i in range(200_000)):
+        start, n = (x, 1) if start is None or x - start > 50 else (start, n + 1)
+        sums = [sums[0] + n, sums[1] + start, max(sums[2], n)]
+    assert list(got) == sums
 
 
 def test_request_columns(spark):
