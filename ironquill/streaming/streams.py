@@ -76,17 +76,39 @@ def usage_now(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("user_id", "date").agg(F.max("request_count").alias("request_count"))
 
 
+def _first_matches(batches):
+    """Matches as the scan finds them -> the first of each label and raw match in a file.
+
+    A file's matches come one after the other in the order of their places;
+    a place that is not later than the one before begins another file.
+    """
+    file, place, seen = None, None, set()
+    for pdf in batches:
+        first = []
+        for own, at, match in zip(zip(pdf["repo"], pdf["path"]), zip(pdf["line"], pdf["rule_ord"], pdf["match_pos"]),
+                                  zip(pdf["label"], pdf["match_key"])):
+            if own != file or at <= place:
+                file, seen = own, set()
+            place = at
+            first.append(match not in seen)
+            seen.add(match)
+        yield pdf[first]
+
+
 def stream_secret_scan(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
     """Stateless scan of arriving files; every file is whole, so each line is judged at once.
 
-    Emits every match.  Deduplicate per file where the sink is read, with
-    ``label, match_key`` (a hash of the raw match, which itself is not emitted).
+    Emits the first place of each label and raw match in a file, as
+    :func:`dedup_matches` does.  ``match_key`` is a hash of the raw match,
+    which itself is not emitted.
     """
     keys = ("repo", "path")
     lines = src_lines(scan_files(files).select(*keys, "content"), hints=rule_hints(rules))
-    return secret_match(lines, rules).select(
+    matches = secret_match(lines, rules).select(
         *keys, "label", "line", "rule_ord", "match_pos", redact(F.col("raw")).alias("match"),
         F.sha2("raw", 256).alias("match_key"))
+    return matches.mapInPandas(_first_matches, "repo string, path string, label string, line int, rule_ord int, match_pos int, "
+                                               "match string, match_key string")
 
 
 def stream_injection_alerts(requests: DataFrame) -> DataFrame:

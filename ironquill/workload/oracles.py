@@ -581,7 +581,7 @@ RAW: dict[str, str] = {
     "stream_injection_alerts": f"SELECT req_id, path, left(query, 80) AS query FROM v_requests WHERE {INJECTION}",
     "stream_audit_append": "SELECT id, user_id, action, least(500, length(metadata)) AS metadata_chars FROM v_audit",
     "stream_secret_scan": """SELECT m.repo, m.path, label, line, match_pos, CASE WHEN length(raw) <= 6 THEN '***' ELSE left(raw, 6)
-        || repeat('*', least(8, length(raw) - 6)) || '  (redacted)' END AS match FROM o_matches m SEMI JOIN v_files f
+        || repeat('*', least(8, length(raw) - 6)) || '  (redacted)' END AS match FROM o_firsts m SEMI JOIN v_files f
         ON m.repo = f.repo AND m.path = f.path""",
     "stream_subscription_state": SUB_STATE.format(""),
 }
