@@ -1,4 +1,4 @@
-"""Sinks.  Streaming sinks are idempotent per batch: a replayed batch overwrites its own folder."""
+"""Sinks.  A replayed batch changes nothing."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rules.plan_limits import LOG_VALUE_CHARS
+from ..session import keep_result
+from . import manifest_table
 
 
 def sink_scan_results(scans: DataFrame, path: str) -> None:
@@ -23,27 +25,43 @@ def scan_rows(summary: DataFrame, user_id: str | None, created_at) -> DataFrame:
         body.alias("result_json"), F.lit(str(created_at)).cast("timestamp").alias("created_at"))
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+USAGE_SCHEMA = "user_id string, org_id string, date date, request_count bigint"
 
 
-def sink_upsert_usage(path: str):
-    """foreachBatch writer of request events: per batch one row per (user, org, day).
+def sink_upsert_usage(path: str, feed: str | None = None):
+    """foreachBatch writer of request events: one row per user and day, added to what is there.
 
-    Updating a counter in place would count a replayed batch twice; increments
-    kept per batch do not.  :func:`usage_view` adds them up.
+    Only the days that a batch touches are rewritten, into a folder of their
+    own; a manifest then names it together with the batch.  A batch that the
+    manifest has is left out, so a replay counts nothing twice, and a crash
+    before the commit leaves the table as it was.  ``feed`` names the run, by
+    default the streaming query; another one, as a new checkpoint makes, reads
+    its source from the beginning, so the table begins anew with it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy("user_id", "org_id", F.to_date("ts").alias("date")).agg(
-            F.count(F.lit(1)).alias("request_count"))
-        _write_batch(rows, path, batch_id)
+        spark = batch.sparkSession
+        run = feed or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        before = manifest_table.current(spark, path)
+        if before["query"] == run and before["batch"] >= batch_id:
+            return
+        if before["query"] != run:
+            before = dict(manifest_table.EMPTY)
+        added = keep_result(batch.groupBy("user_id", F.to_date("ts").alias("date")).agg(
+            F.max("org_id").alias("org_id"), F.count(F.lit(1)).alias("request_count")))
+        days = {str(r["date"]) for r in added.select("date").distinct().collect()}
+        old = manifest_table.folders(before, days)
+        rows = added.unionByName(spark.read.schema(USAGE_SCHEMA).parquet(*old)) if old else added
+        merged = rows.groupBy("user_id", "date").agg(F.max("org_id").alias("org_id"), F.sum("request_count").alias("request_count"))
+        out = f"{path}/data/{run}-{batch_id}"
+        merged.withColumn("day", F.coalesce(F.col("date").cast("string"), F.lit("None"))).write.mode("overwrite").partitionBy("day").parquet(out)
+        manifest_table.commit(spark, path, {"query": run, "batch": batch_id, "partitions": {
+            **before["partitions"], **{day: f"{out}/day={day}" for day in days}}})
 
     return write
 
 
 def usage_view(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("user_id", "date").agg(
-        F.max("org_id").alias("org_id"), F.sum("request_count").alias("request_count"))
+    return manifest_table.read_table(spark, path, USAGE_SCHEMA).select("user_id", "date", "org_id", "request_count")
 
 
 def sink_latest_state(task_events: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ironquill.operators import requests as req
 from ironquill.operators import secrets
-from ironquill.sources import sinks
+from ironquill.sources import manifest_table, sinks
 from ironquill.streaming import streams
 from tests.test_activity import REQ, T0, numbers, request
 from tests.test_billing import EVENTS, USERS, event, states, user
@@ -33,14 +34,41 @@ def test_rate_limit_restarts_and_equals_batch(spark, tmp_path):
     assert numbers(out) == numbers(req.rate_limit_batch(spark.createDataFrame(rows, REQ)))
 
 
-def test_usage_upsert_replay_does_not_double(spark, tmp_path):
-    rows = spark.createDataFrame([request(i, i * 3600, user_id=f"u{i % 2}") for i in range(48)], REQ).withColumn("org_id", F.lit("o"))
-    land(rows, tmp_path / "in")
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    streams.stream_usage_upsert(source, f"{tmp_path}/data", f"{tmp_path}/check").awaitTermination()
-    sinks.sink_upsert_usage(f"{tmp_path}/data")(rows, 0)  # the same batch again
-    got = {(r.user_id, str(r.date)): r.request_count for r in sinks.usage_view(spark, f"{tmp_path}/data").collect()}
-    assert got == {(u, d): 12 for u in ("u0", "u1") for d in ("2024-01-01", "2024-01-02")}
+def usage_counts(spark, path):
+    return {(r.user_id, str(r.date)): r.request_count for r in sinks.usage_view(spark, str(path)).collect()}
+
+
+def test_usage_upsert_counts_once(spark, tmp_path, monkeypatch):
+    rows = [request(i, i * 3600, user_id=f"u{i % 2}") for i in range(72)]
+    frame = lambda part: spark.createDataFrame(part, REQ).withColumn("org_id", F.lit("o"))
+    land(frame(rows[:30]), tmp_path / "in")
+    source = spark.readStream.schema(frame(rows).schema).parquet(str(tmp_path / "in"))
+    run = lambda check: streams.stream_usage_upsert(source, f"{tmp_path}/t", f"{tmp_path}/{check}").awaitTermination()
+    run("a")
+    land(frame(rows[30:60]), tmp_path / "in")
+    with monkeypatch.context() as m:  # the data are written, the commit fails
+
+        def crash(*args):
+            raise OSError("lost")
+
+        m.setattr(manifest_table, "commit", crash)
+        with pytest.raises(Exception, match="lost"):
+            run("a")
+    assert sum(usage_counts(spark, f"{tmp_path}/t").values()) == 30
+    run("a")
+    land(frame(rows[60:]), tmp_path / "in")
+    run("a")
+    want = {(u, d): 12 for u in ("u0", "u1") for d in ("2024-01-01", "2024-01-02", "2024-01-03")}
+    assert usage_counts(spark, f"{tmp_path}/t") == want
+    now = manifest_table.current(spark, f"{tmp_path}/t")
+    sinks.sink_upsert_usage(f"{tmp_path}/t", now["query"])(frame(rows[60:]), now["batch"])  # the last batch again
+    assert usage_counts(spark, f"{tmp_path}/t") == want
+    assert len(now["query"]) == 36  # the id that the checkpoint keeps
+    untouched = now["partitions"]["2024-01-01"]
+    assert "-0/" in untouched or "-1/" in untouched  # the third batch has not rewritten it
+    assert manifest_table.vacuum(spark, f"{tmp_path}/t", keep=1) > 0 and usage_counts(spark, f"{tmp_path}/t") == want
+    run("b")  # another checkpoint reads everything again
+    assert usage_counts(spark, f"{tmp_path}/t") == want
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
