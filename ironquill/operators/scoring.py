@@ -8,7 +8,7 @@ findings costs one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import any_contains
@@ -150,13 +150,13 @@ def repo_health(findings: DataFrame, dep_findings: DataFrame, dep_counts: DataFr
     return out.select(key, "security_score", score_band(F.col("security_score")).alias("risk_level"), *counts)
 
 
-def owasp_coverage(findings: DataFrame, key: str | None = None, order=()) -> DataFrame:
-    """Findings per OWASP category, most first; ties by first sight."""
+def owasp_coverage(findings: DataFrame, order, key: str | None = None) -> DataFrame:
+    """Findings per OWASP category with their ``rank``: most first, ties by first sight in ``order`` (columns of findings)."""
     keys = [key] if key else []
-    place = F.min(F.struct(*[F.col(c) for c in order])).alias("_at") if order else F.min("owasp").alias("_at")
-    return (findings.filter(F.col("owasp").isNotNull()).groupBy(*keys, "owasp")
-            .agg(F.count(F.lit(1)).alias("findings"), place)
-            .orderBy(*keys, F.col("findings").desc(), "_at").drop("_at"))
+    counted = findings.filter(F.col("owasp").isNotNull()).groupBy(*keys, "owasp").agg(
+        F.count(F.lit(1)).alias("findings"), F.min(F.struct(*order)).alias("_at"))
+    place = Window.partitionBy(*keys).orderBy(F.col("findings").desc(), "_at")  # a row per category
+    return counted.withColumn("rank", F.row_number().over(place)).drop("_at")
 
 
 def free_tier_topk(findings: DataFrame, order, scans: DataFrame, k: int = 5, key: str = "repo") -> DataFrame:

@@ -128,6 +128,6 @@ def executive_report(files: DataFrame, repos: DataFrame, product: str = "securit
         "serious": findings.filter("in_serious"),
         "secrets": findings.filter("in_secrets"),
         "dependencies": dep_risk_top20(dep_found, DEP_ORDER),
-        "owasp": owasp_coverage(findings, "repo", ()),
+        "owasp": owasp_coverage(findings, finding_order(), "repo"),
         "shown": free_tier_topk(findings, finding_order(), repos),
     }

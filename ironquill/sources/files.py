@@ -9,6 +9,8 @@ those (``.env``) are what the scan is after, so the walk runs in tasks.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..functions.bind import bind
 from ..functions.text import basename, contains_any, file_ext, fold, in_dirs, unify_newlines
 from ..rules.scan_limits import (
     MANIFEST_SKIP_DIRS, MANIFESTS, MAX_FILE_BYTES, MAX_LINE_CHARS, SCAN_EXTENSIONS, SCAN_SKIP_DIRS)
+from .listing import CHUNK_BYTES, SUBTREES, CorpusListing, Store
 
 FILE_SCHEMA = "repo string, path string, is_link boolean, size bigint, content string"
 
@@ -30,74 +33,79 @@ def is_manifest(path: Column) -> Column:
     return basename(path).isin(*MANIFESTS) & ~in_dirs(path, MANIFEST_SKIP_DIRS)
 
 
-def list_corpus(spark: SparkSession, repos: dict[str, str], skip_dirs=()) -> DataFrame:
-    """Walk each repository directory in a task: repo, root, path, is_link, size; ``skip_dirs`` are not entered."""
-
-    def walk(batches):
-        import os
-
-        import pandas as pd
-
-        names = ["repo", "root", "path", "is_link", "size"]
-        for pdf in batches:
-            rows = []
-            for repo, root in zip(pdf["repo"], pdf["root"]):
-                for here, below, files in os.walk(root):
-                    below[:] = [name for name in below if name not in skip_dirs]
-                    for name in files:
-                        full = os.path.join(here, name)
-                        try:
-                            size = os.path.getsize(full)
-                        except OSError:
-                            continue
-                        rows.append((repo, root, os.path.relpath(full, root), os.path.islink(full), size))
-                        if len(rows) >= 10_000:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    roots = spark.createDataFrame(sorted(repos.items()), "repo string, root string")
-    return (roots.repartition(max(1, min(len(repos), 10_000)), "repo")
-            .mapInPandas(walk, "repo string, root string, path string, is_link boolean, size bigint"))
-
-
-def src_file_corpus(spark: SparkSession, repos: dict[str, str], selected=None) -> DataFrame:
-    """Files of the repositories in ``{name: directory}``.
+def list_corpus(spark: SparkSession, repos: dict[str, str], skip_dirs=(), subtrees: int = SUBTREES,
+                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Every file below the repositories' directories, listed by tasks of a subtree each; ``skip_dirs`` are not entered.
 
-    Only files that pass ``selected(path, size)`` are opened; by default those
-    that the secret scan or the manifest search wants.
+    ``error`` says what could not be listed.
     """
+    spark.dataSource.register(CorpusListing)
+    return (spark.read.format("corpus_listing").option("roots", json.dumps(repos)).option("skip", json.dumps(sorted(skip_dirs)))
+            .option("subtrees", subtrees).option("chunkBytes", chunk_bytes).load())
 
-    def read(batches):
-        import os
 
-        import pandas as pd
+def _read_files(batches):
+    """Listed files -> the same with content, or with an error; a bounded number of bytes at once."""
+    import pandas as pd
 
-        names = ["repo", "path", "is_link", "size", "content"]
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
+    names, stores = ["repo", "path", "is_link", "size", "content", "error"], {}
+    for pdf in batches:
+        rows, held = [], 0
+        for r in pdf.itertuples(index=False):
+            text, error = None, r.error
+            if error is None:
                 try:
-                    with open(os.path.join(r.root, r.path), "rb") as fh:
-                        text = fh.read().decode("utf-8", "replace")
-                except OSError:
-                    text = None
-                rows.append((r.repo, r.path, r.is_link, r.size, text))
-                if len(rows) >= 64:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
+                    if r.root not in stores:
+                        stores[r.root] = Store(r.root)
+                    text = stores[r.root].read(r.path).decode("utf-8", "replace")
+                except OSError as problem:
+                    error = f"{type(problem).__name__}: {problem.strerror}"
+            rows.append((r.repo, r.path, r.is_link, r.size, text, error))
+            held += len(text or "")
+            if held >= 4 << 20 or len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names)
+
+
+def read_corpus(spark: SparkSession, repos: dict[str, str], selected=None, subtrees: int = SUBTREES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Files of the repositories in ``{name: directory}`` with their content, and what could not be listed or read: ``error``.
 
+    Only files that pass ``selected(path, size)`` are opened; by default those
+    that the secret scan or the manifest search wants.  Files are dealt out by
+    chunks of about ``chunk_bytes``, so that one huge repository is read by
+    many tasks.
+    """
     path, size = F.col("path"), F.col("size")
     wanted = selected(path, size) if selected else (scannable(path, size) | is_manifest(path))
-    # Spread the files by name, so that one huge repository is read by many tasks.
     skipped = () if selected else tuple(set(SCAN_SKIP_DIRS) & set(MANIFEST_SKIP_DIRS))
-    return list_corpus(spark, repos, skipped).filter(wanted).repartition("repo", "path").mapInPandas(read, FILE_SCHEMA)
+    listed = list_corpus(spark, repos, skipped, subtrees, chunk_bytes).filter(wanted | F.col("error").isNotNull())
+    return listed.repartition("chunk").mapInPandas(_read_files, FILE_SCHEMA + ", error string")
+
+
+def src_file_corpus(spark: SparkSession, repos: dict[str, str], selected=None, **how) -> DataFrame:
+    """The files of :func:`read_corpus` that could be read."""
+    return read_corpus(spark, repos, selected, **how).filter("error is null").drop("error")
+
+
+def corpus_rejects(spark: SparkSession, repos: dict[str, str], selected=None, **how) -> DataFrame:
+    """``repo, path, error``: the directories and files of :func:`read_corpus` that could not be listed or read."""
+    return read_corpus(spark, repos, selected, **how).filter("error is not null").select("repo", "path", "error")
 
 
-def decode_content(binary: Column) -> Column:
-    """Bytes to text; malformed UTF-8 becomes the replacement character."""
-    return F.make_valid_utf8(binary.cast("string"))
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write each file as ``root/repo/path``; the number of files.  Rows with one path overwrite each other."""
+
+    def write(batches):
+        import pandas as pd
+
+        store = Store(root)
+        for pdf in batches:
+            for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
+                store.write(f"{repo}/{path}", (content or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select("repo", "path", "content").mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def scan_files(files: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ HELP: dict[str, str] = {
     "o_deps": """SELECT repo, name, version, path, manifest, priority, min(pos) OVER (PARTITION BY repo, name, path) AS pos
                 FROM v_declared JOIN o_priority USING (manifest) QUALIFY
                 row_number() OVER (PARTITION BY repo, name ORDER BY priority, path, v_declared.pos DESC) = 1""",
-    "o_parsed_deps": """SELECT repo, name, version FROM o_parsed JOIN o_priority USING (manifest) QUALIFY
+    "o_parsed_deps": """SELECT repo, name, version, path, priority, min(p) OVER (PARTITION BY repo, name, path) AS pos FROM o_parsed JOIN o_priority USING (manifest) QUALIFY
                 row_number() OVER (PARTITION BY repo, name ORDER BY priority, path, p DESC) = 1""",
     "o_adv": values([(a.name, i, a.max_version, a.severity, a.cve, a.description) for i, a in enumerate(ADVISORIES)],
                     "name, ord, max_version, severity, cve, description"),
@@ -211,6 +211,9 @@ HELP["o_compliance"] = """SELECT f.*, coalesce(n.owasp, 'A05 Security Misconfigu
 HELP["o_secret_compliance"] = """SELECT f.*, coalesce(n.owasp, 'A05 Security Misconfiguration') AS owasp FROM (
     SELECT f.*, (SELECT min(ord) FROM o_needles WHERE contains(f.hay, needle)) AS o FROM (SELECT *,
     lower(concat_ws(' ', type, '', category, description, match)) AS hay FROM o_findings) f) f LEFT JOIN o_needles n ON f.o = n.ord"""
+HELP["o_owasp"] = f"""SELECT *, row_number() OVER (PARTITION BY repo ORDER BY findings DESC, seen) AS rank FROM (
+    SELECT repo, owasp, count(*) AS findings, min(row({SEV_RANK}, path, line, rule_ord, match_pos)) AS seen
+    FROM o_secret_compliance GROUP BY 1, 2)"""
 SECRET_HAY = "lower(concat_ws(' ', type, category))"
 HELP["o_is_secret"] = f"""SELECT repo, severity, (len(list_filter({listed(cr.SECRET_TERMS)},
     lambda t: contains({SECRET_HAY}, t))) > 0)::INT AS secret FROM o_findings"""
@@ -342,15 +345,16 @@ HELP["o_best"] = f"""SELECT title, id, v31 AS cvss_score FROM (SELECT DISTINCT t
 RAW: dict[str, str] = {
     "finding_cve_lookup": """SELECT text_id, a.title, match, b.id AS top_cve, b.cvss_score AS top_cvss
         FROM o_asked a LEFT JOIN o_best b ON a.title = b.title""",
-    "src_file_corpus": "SELECT repo, path, size, md5(content) AS content_md5 FROM o_scan",
-    "src_lines": """SELECT repo, count(*) AS lines, sum(length(text))::BIGINT AS chars, max(line) AS max_line,
-        min(md5(text)) AS min_md5 FROM o_all_lines GROUP BY repo""",
+    "src_file_corpus": f"""SELECT repo, path, FALSE AS is_link, octet_length(encode(content))::BIGINT AS size, md5(content) AS content_md5
+        FROM o_ext WHERE list_contains({listed(sl.SCAN_EXTENSIONS)}, ext) AND octet_length(encode(content)) <= 512000
+        AND NOT {_in_dirs(sl.SCAN_SKIP_DIRS)}""",
+    "src_lines": "SELECT repo, path, line, text FROM o_all_lines",
     "src_manifests": "SELECT repo, path, manifest FROM o_manifest_files",
     "src_cve_feed": "SELECT id, published, description, cpes + 1 AS n_references FROM v_cve_flat",
     "src_epss_feed": "SELECT cve, epss FROM v_epss",
     "src_tables": "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderdate >= TIMESTAMP '1998-01-01' ORDER BY 1",
-    "sink_scan_results": """SELECT created_at::DATE::STRING AS scan_date, count(*) AS scans, sum(total_secrets)::BIGINT AS secrets
-        FROM v_scans GROUP BY 1""",
+    "sink_scan_results": """SELECT id, user_id, source, risk_level, total_secrets, result_json, created_at::DATE::STRING AS scan_date
+        FROM v_scans""",
     "sink_upsert_usage": "SELECT user_id, date::STRING AS date, request_count FROM v_usage",
     "sink_latest_state": """SELECT id, arg_max(state, updated_at) AS state, arg_max(progress, updated_at) AS progress,
         arg_max(result_json, updated_at) FILTER (result_json IS NOT NULL) AS result_json, max(updated_at) AS updated_at
@@ -499,7 +503,7 @@ RAW: dict[str, str] = {
         count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l, sum(secret) AS secret,
         sum(dep) AS dep FROM (SELECT repo, severity, secret, 0 AS dep FROM o_is_secret UNION ALL
         SELECT repo, severity, 0, 1 FROM o_dep_found) GROUP BY 1) x ON r.repo = x.repo""",
-    "owasp_coverage": "SELECT repo, owasp, count(*) AS findings FROM o_secret_compliance GROUP BY 1, 2",
+    "owasp_coverage": "SELECT repo, owasp, findings, rank FROM o_owasp",
     "free_tier_topk": f"""SELECT repo, path, line, type, severity, match FROM (SELECT f.*, is_pro, row_number() OVER (
         PARTITION BY f.repo ORDER BY {SEV_RANK}, path, line, rule_ord, match_pos) AS rn FROM o_findings f JOIN v_repos r
         ON f.repo = r.repo) WHERE is_pro OR rn <= 5""",
@@ -508,10 +512,10 @@ RAW: dict[str, str] = {
     "union_findings": """SELECT repo, type, severity, NULL AS package, path, match FROM o_findings UNION ALL
         SELECT f.repo, type, severity, package, d.path, match FROM o_dep_found f JOIN o_deps d ON f.repo = d.repo
         AND f.package = d.name""",
-    "report_sections": """SELECT repo, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS serious,
-        count(*) FILTER (category = 'Secrets Exposure') AS secrets, count(*) FILTER (category = 'Dependency Vulnerability')
-        AS dependencies FROM (SELECT repo, severity, category FROM o_findings UNION ALL
-        SELECT repo, severity, category FROM o_dep_found) GROUP BY 1""",
+    "report_sections": """SELECT repo, type, severity, category, match, severity IN ('CRITICAL', 'HIGH') AS in_serious,
+        category = 'Secrets Exposure' AS in_secrets, category = 'Dependency Vulnerability' AS in_dependencies
+        FROM (SELECT repo, type, severity, category, match FROM o_findings UNION ALL
+        SELECT repo, type, severity, category, match FROM o_dep_found)""",
     "compliance_map": "SELECT text_id, title, match, owasp, nist FROM o_compliance",
     "auto_fix": "SELECT text_id, " + ", ".join(f"{_fix_case(f)} AS {f}" for f in (
         "before", "after", "explanation", "confidence")) + " FROM v_snippets",
@@ -559,14 +563,18 @@ RAW: dict[str, str] = {
         WHEN count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) >= 1 THEN 'HIGH' WHEN count(severity) > 0 THEN 'MEDIUM'
         ELSE 'LOW' END AS risk, greatest(0, 100 - sum(CASE WHEN severity IS NULL THEN 0 ELSE {SEV_POINTS} END))::BIGINT
         AS security_score FROM v_texts t LEFT JOIN o_paste p ON t.text_id = p.text_id GROUP BY 1)""",
-    "executive_report": f"""SELECT repo, section, count(*) AS rows FROM (
-        SELECT repo, 'summary' AS section FROM v_repos UNION ALL
-        SELECT repo, 'serious' FROM o_findings WHERE severity IN ('CRITICAL', 'HIGH') UNION ALL
-        SELECT repo, 'secrets' FROM o_findings WHERE category = 'Secrets Exposure' UNION ALL
-        SELECT repo, 'dependencies' FROM (SELECT repo FROM o_pdep_found QUALIFY row_number() OVER (PARTITION BY repo) <= 20)
-        UNION ALL SELECT DISTINCT repo, 'owasp:' || owasp FROM o_secret_compliance UNION ALL
-        SELECT repo, 'shown' FROM (SELECT f.repo, is_pro, row_number() OVER (PARTITION BY f.repo ORDER BY {SEV_RANK}) AS rn
-        FROM o_findings f JOIN v_repos r ON f.repo = r.repo) WHERE is_pro OR rn <= 5) GROUP BY 1, 2""",
+    "executive_report": f"""
+        SELECT s.repo, 'summary' AS section, exec_summary AS title, recommendations AS detail, risk_level AS level, security_score AS number
+        FROM ({{exec_summary}}) e JOIN ({{recommendations}}) r ON e.repo = r.repo JOIN ({{scan_report}}) s ON s.repo = e.repo UNION ALL
+        SELECT repo, 'serious', type, path, severity, line FROM o_findings WHERE severity IN ('CRITICAL', 'HIGH') UNION ALL
+        SELECT repo, 'secrets', type, path, severity, line FROM o_findings WHERE category = 'Secrets Exposure' UNION ALL
+        SELECT repo, 'dependencies', package, cve, severity, rank FROM (SELECT f.repo, package, coalesce(cve, 'N/A') AS cve, severity,
+        row_number() OVER (PARTITION BY f.repo ORDER BY d.priority, d.path, d.pos, package) AS rank FROM o_pdep_found f
+        JOIN o_parsed_deps d ON f.repo = d.repo AND f.package = d.name QUALIFY rank <= 20) UNION ALL
+        SELECT repo, 'owasp', owasp, '', '', findings FROM o_owasp UNION ALL
+        SELECT repo, 'shown', type, path, severity, line FROM (SELECT f.*, is_pro, row_number() OVER (
+        PARTITION BY f.repo ORDER BY {SEV_RANK}, path, line, rule_ord, match_pos) AS rn
+        FROM o_findings f JOIN v_repos r ON f.repo = r.repo) WHERE is_pro OR rn <= 5""",
     "subscription_lookup": """SELECT seq, sub AS subscription_id, (SELECT min(id) FROM v_users u WHERE u.paypal_subscription_id = sub)
         AS user_id FROM o_pe WHERE NOT by_user AND sub IS NOT NULL""",
     "subscription_state": SUB_STATE.format("coalesce(events, 0) AS events, "),
@@ -593,10 +601,8 @@ RAW["llm_reply_parse"] = re.sub(
         f"list_transform(list_filter(list_transform(string_split({m.group(1) or m.group(2)}, chr(10)), "
         f"lambda x: trim(x, {WS})), lambda x: x LIKE '-%' AND length(x) > 2), lambda x: trim(ltrim(x, '- '), {WS}))"),
     RAW["llm_reply_parse"])
-RAW["executive_report"] = RAW["executive_report"].replace("'owasp:' || owasp", "'owasp', owasp").replace(
-    "SELECT repo, 'summary' AS section FROM", "SELECT repo, 'summary' AS section, '' AS x FROM")
-for _s in ("serious", "secrets", "dependencies", "shown"):
-    RAW["executive_report"] = RAW["executive_report"].replace(f"SELECT repo, '{_s}' FROM", f"SELECT repo, '{_s}', '' FROM")
+for _name in ("exec_summary", "recommendations", "scan_report"):
+    RAW["executive_report"] = RAW["executive_report"].replace(f"{{{_name}}}", RAW[_name])
 
 _CHAIN = """WITH RECURSIVE o_chain0 AS (
     SELECT ip, bucket, min(t) AS s FROM {keyed} GROUP BY 1, 2 UNION ALL

@@ -114,14 +114,17 @@ def payment_events(spark, d):
 
 @query
 def src_file_corpus(spark, d):
-    return src.scan_files(tree(spark, d)).select("repo", "path", "size", F.md5("content").alias("content_md5"))
+    """The tree's files, written as files, listed and read."""
+    root, files_of = scratch_folder(spark), tree(spark, d)
+    src.write_tree(files_of, root)
+    names = [r["repo"] for r in files_of.select("repo").distinct().collect()]
+    found = src.src_file_corpus(spark, {n: f"{root}/{n}" for n in names}, src.scannable)
+    return found.select("repo", "path", "is_link", "size", F.md5("content").alias("content_md5"))
 
 
 @query
 def src_lines(spark, d):
-    return src.src_lines(tree(spark, d).select("repo", "path", "content")).groupBy("repo").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("text")).cast("bigint").alias("chars"),
-        F.max("line").alias("max_line"), F.min(F.md5("text")).alias("min_md5"))
+    return src.src_lines(tree(spark, d).select("repo", "path", "content")).select("repo", "path", "line", "text")
 
 
 @query
@@ -173,9 +176,8 @@ QUERIES["src_tables"] = QUERIES.pop("src_tables_query")
 def sink_scan_results(spark, d):
     out = scratch_folder(spark)
     sinks.sink_scan_results(scans(spark, d), out)
-    back = spark.read.parquet(out)
-    return back.groupBy(F.col("scan_date").cast("string").alias("scan_date")).agg(
-        F.count(F.lit(1)).alias("scans"), F.sum("total_secrets").alias("secrets"))
+    return spark.read.parquet(out).select("id", "user_id", "source", "risk_level", "total_secrets", "result_json",
+                                          F.col("scan_date").cast("string").alias("scan_date"))
 
 
 @query
@@ -524,7 +526,7 @@ def repo_health(spark, d):
 
 @query
 def owasp_coverage(spark, d):
-    return scoring.owasp_coverage(compliance_map(findings(spark, d)), "repo")
+    return scoring.owasp_coverage(compliance_map(findings(spark, d)), secrets.finding_order(), "repo")
 
 
 @query
@@ -547,9 +549,7 @@ def union_findings(spark, d):
 @query
 def report_sections(spark, d):
     both = scoring.union_findings(findings(spark, d), dep.dependency_findings(deps(spark, d)))
-    return reports.report_sections(both).groupBy("repo").agg(
-        F.count_if("in_serious").alias("serious"), F.count_if("in_secrets").alias("secrets"),
-        F.count_if("in_dependencies").alias("dependencies"))
+    return reports.report_sections(both).select("repo", "type", "severity", "category", "match", "in_serious", "in_secrets", "in_dependencies")
 
 
 @query
@@ -671,11 +671,15 @@ def analyze_report(spark, d):
 
 @query
 def executive_report(spark, d):
-    """Sizes of the report's tables per repository."""
+    """Rows of all the report's tables."""
     tables = composites.executive_report(tree(spark, d), repos(spark, d))
-    parts = [t.select("repo", F.lit(name).alias("section")) for name, t in sorted(tables.items())]
-    return functools.reduce(DataFrame.unionByName, parts).groupBy("repo", "section").agg(
-        F.count(F.lit(1)).alias("rows"))
+    finding = ("type", "path", "severity", "line")
+    shown = {"summary": ("exec_summary", joined("recommendations"), "risk_level", "security_score"), "serious": finding, "secrets": finding,
+             "dependencies": ("package", "cve", "severity", "rank"), "owasp": ("owasp", F.lit(""), F.lit(""), "findings"), "shown": finding}
+    parts = [tables[name].select("repo", F.lit(name).alias("section"), *[
+        (F.col(c) if isinstance(c, str) else c).cast(kind).alias(to) for c, to, kind in zip(
+            columns, ("title", "detail", "level", "number"), ("string", "string", "string", "bigint"))]) for name, columns in shown.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # ---- billing -------------------------------------------------------------------------------------
@@ -760,7 +764,7 @@ def stream_subscription_state(spark, d):
 # ---- one width for counts and positions ----------------------------------------------------------------
 
 _WIDE = {
-    "src_lines": ("max_line",),
+    "src_lines": ("line",),
     "src_cve_feed": ("n_references",),
     "sink_append_log": ("metadata_chars",),
     "secret_match": ("line", "match_pos",),

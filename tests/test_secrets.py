@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ironquill.operators import secrets
 from ironquill.operators.paste import analyze_text, entropy_secrets
 from ironquill.rules.secret_rules import SECRET_RULES
-from ironquill.sources.files import scan_files, src_file_corpus, src_lines
+from ironquill.sources.files import corpus_rejects, scan_files, src_file_corpus, src_lines, write_tree
 
 AKEY = "AK" + "IA" + "Q" * 16
 GH = "gh" + "p_" + "a1" * 18
@@ -120,3 +120,30 @@ def test_corpus_from_directories(spark, tmp_path):
     assert sorted(rows) == [".env", "bad.py", "requirements.txt"]
     assert rows["bad.py"].startswith("�� ok")
     assert secrets.secret_findings(df).filter(F.col("path") == "bad.py").count() == 1
+
+
+def test_corpus_of_subtrees(spark, tmp_path):
+    files = {f"a/b{i % 5}/c{i % 3}/f{i}.py": f"x = {i}" for i in range(60)} | {"top.py": "é", "deep/" + "d/" * 60 + "z.py": "z", ".git/h.py": "no"}
+    for name, text in files.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "one.js").write_text("1")
+    (tmp_path / "s" / "gone.js").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "s" / "two.js").symlink_to(tmp_path / "s" / "one.js")
+    (tmp_path / "s" / "loop").symlink_to(tmp_path / "s")
+    repos = {"r": str(tmp_path / "r"), "s": f"file://{tmp_path}/s", "none": str(tmp_path / "none")}
+    want = {("r", n): t for n, t in files.items() if ".git" not in n} | {("s", "one.js"): "1", ("s", "two.js"): "1"}
+    for subtrees, chunk in ((1, 10), (6, 100), (1000, 1 << 20)):
+        rows = src_file_corpus(spark, repos, subtrees=subtrees, chunk_bytes=chunk).collect()
+        assert {(r.repo, r.path): r.content for r in rows} == want and len(rows) == len(want)
+        assert {r.path for r in rows if r.is_link} == {"two.js"}
+        bad = {(r.repo, r.path): r.error for r in corpus_rejects(spark, repos, subtrees=subtrees, chunk_bytes=chunk).collect()}
+        assert set(bad) == {("s", "gone.js"), ("none", "")} and all(e.startswith("FileNotFoundError") for e in bad.values())
+
+
+def test_tree_round_trip(spark, tmp_path):
+    df = files_df(spark, [("r", "a/x.py", "1\r\n"), ("r", ".env", "é"), ("q", "b/c/y.js", "")])
+    assert write_tree(df, f"file://{tmp_path}/t") == 3
+    back = src_file_corpus(spark, {r: f"file://{tmp_path}/t/{r}" for r in "rq"})
+    assert {(r.repo, r.path, r.content) for r in back.collect()} == {(r.repo, r.path, r.content) for r in df.collect()}
