@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SEED = "mix-1"
 #: More target weights than this are refused, as their table is broadcast.
 MOST_WEIGHTS = 10_000
+ADDED = ("_copy", "_copies", "_rate", "_place")
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -76,9 +77,10 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], id_col: str = "doc_
     share its draw; rows with a null id are drawn by source. The order is that
     of a hash of seed, id and copy: rows go to random partitions and lie in
     random order there. A source's repetitions spread over all partitions.
+    Columns of ``docs`` with one of the four names give way to the new ones.
     """
     table = rates(docs, weights, source_col, size, total, rest)
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"),
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("_row"), F.col(id_col).alias("_id"),
                          F.col(source_col).alias("_from"), _listed(source_col, weights).alias("_of"))
     drawn = marked.join(F.broadcast(table), F.col("_of").eqNullSafe(F.col("_source")))
     u = uniform(seed, F.col("_id"), F.when(F.col("_id").isNull(), F.col("_from")))
@@ -87,4 +89,4 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], id_col: str = "doc_
     copies = counted.filter("_copies > 0").select("_row", "_id", "_rate", "_copies", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
     place = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_copy").cast("string")))
     shuffled = copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place")
-    return shuffled.select("_row.*", "_copy", "_copies", "_rate", "_place")
+    return shuffled.select("_row.*", *ADDED)

@@ -13,6 +13,7 @@ import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -131,32 +132,67 @@ def record_bytes(headers: str, block: bytes) -> bytes:
     return headers.encode() + END.encode() + block + 2 * END.encode()
 
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """Header fields and block of each record of an uncompressed file."""
+def members(data: bytes) -> Iterator[bytes]:
+    """An uncompressed file as it is, a compressed one gzip member by member; a damaged member reads as a record without a header."""
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        try:
+            yield one.decompress(data) + one.flush()
+        except zlib.error:
+            yield b"WARC/"
+            return
+        data = one.unused_data
+    if data:
+        yield data
+
+
+def split_records(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes | None]]:
+    """Header fields and block of each record; the block is null where the record has no usable length, or ends before it.
+
+    After such a record the next one is looked for behind its header.
+    """
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         stop = data.find(b"\r\n\r\n", start)
         if stop < 0:
+            yield header_fields(data[start:].decode("utf-8", "replace")), None
             return
         fields = header_fields(data[start:stop].decode("utf-8", "replace"))
-        length = int(next(v[0] for k, v in fields.items() if k.lower() == "content-length"))
-        yield fields, data[stop + 4 : stop + 4 + length]
-        at = stop + 4 + length
+        length = next((v[0].strip() for k, v in fields.items() if k.lower() == "content-length"), "")
+        at = stop + 4
+        if not (length.isascii() and length.isdigit()) or at + int(length) > len(data):
+            yield fields, None
+            continue
+        yield fields, data[at : at + int(length)]
+        at += int(length)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Responses of the uncompressed WARC files at ``path``, one task for each file."""
+def _read(spark: SparkSession, path: str, rejects: bool) -> DataFrame:
+    schema = "path string, headers string" if rejects else RESPONSE
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for fields, block in split_records(content.as_py()):
-                    if fields.get("WARC-Type") == ["response"]:
-                        head, _, payload = block.partition(b"\r\n\r\n")
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for part in members(content.as_py()):
+                    rows = []
+                    for fields, block in split_records(part):
                         one = lambda k, fields=fields: fields.get(k, [""])[0]
-                        rows.append((one("WARC-Record-ID"), one("WARC-Target-URI"), one("WARC-Date"), head.decode("latin-1") + END, payload))
-                names = [c.split()[0] for c in RESPONSE.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if n == "payload" else pa.string()) for i, n in enumerate(names)], names)
+                        if rejects and block is None:
+                            rows.append((file, json.dumps(fields)))
+                        elif not rejects and block is not None and one("WARC-Type") == "response":
+                            head, _, payload = block.partition(b"\r\n\r\n")
+                            rows.append((one("WARC-Record-ID"), one("WARC-Target-URI"), one("WARC-Date"), head.decode("latin-1") + END, payload))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if n == "payload" else pa.string()) for i, n in enumerate(names)], names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Responses of the WARC files at ``path``, plain or as gzip members, one task for each file (of at most 2 GB)."""
+    return _read(spark, path, rejects=False)
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``path, headers`` (JSON) of the records that :func:`read_responses` cannot use: no length, or cut short."""
+    return _read(spark, path, rejects=True)

@@ -59,3 +59,10 @@ def test_odd_rows(spark):
     assert M.replicate(docs.limit(0), {"a": 0.9}).count() == 0
     with pytest.raises(ValueError):
         M.rates(docs, {"a": -1.0})
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a", "old", 7.0, i) for i in range(40)], "doc_id long, source string, _copy string, _rate double, _u long")
+    got = M.replicate(docs, {"a": 1.0})
+    assert got.columns == ["doc_id", "source", "_u", "_copy", "_copies", "_rate", "_place"]
+    assert {r["_rate"] for r in got.collect()} == {1.0} and all(r["_u"] == r["doc_id"] for r in got.collect())

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 from ironquill.llm import warc as W
@@ -54,3 +55,20 @@ def test_header_lines():
     assert W.decode_payload("é".encode("latin-1"), {"content-type": ["text/html; charset=ISO-8859-1"]}) == "é"
     assert W.decode_payload(b"\xff", {"Content-Type": ["text/html; charset=no-such"]}) == "�"
     assert W.plain_text("a<script>x") == "a" and W.plain_text("1 < 2 <b>and</b> 3") == "1 < 2 and 3"
+
+
+def test_bad_records_are_rejects(spark, tmp_path):
+    good = lambda i: W.record_bytes(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {i}\r\nContent-Length: 6\r\n", b"A\r\n\r\nxy"[:6])
+    bad = [b"WARC/1.1\r\nWARC-Record-ID: none\r\n\r\nblock\r\n\r\n", b"WARC/1.1\r\nWARC-Record-ID: word\r\nContent-Length: x\r\n\r\nblock\r\n\r\n",
+           b"WARC/1.1\r\nWARC-Record-ID: long\r\nContent-Length: 99999\r\n\r\nblock\r\n\r\n"]
+    plain = good(1) + bad[0] + good(2) + bad[1] + bad[2] + good(3)
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (good(4), bad[1], good(5))) + b"\x1f\x8bdamaged")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert sorted(r["record_id"] for r in W.read_responses(spark, str(tmp_path)).collect()) == list("12345")
+    found = sorted(json.loads(r["headers"]).get("WARC-Record-ID", [""])[0] for r in W.read_rejects(spark, str(tmp_path)).collect())
+    assert found == ["", "long", "none", "word", "word"]
+
+
+def test_empty_table(spark):
+    assert W.derivatives(W.responses_of_pages(pages(spark).limit(0))).count() == 0
