@@ -264,17 +264,19 @@ def injection_filter(spark, d):
 
 @query
 def request_bucket(spark, d):
-    return requests(spark, d).select("req_id", req.request_bucket(F.col("path")).alias("bucket"))
+    return requests(spark, d, only=("req_id", "path")).select("req_id", req.request_bucket(F.col("path")).alias("bucket"))
 
 
 @query
 def client_ip(spark, d):
-    return req.with_rate_key(requests(spark, d)).select("req_id", "ip")
+    rows = requests(spark, d, only=("req_id", "path", "cf_ip", "real_ip", "fwd_for", "peer"))
+    return req.with_rate_key(rows).select("req_id", "ip")
 
 
 @query
 def content_type_guard(spark, d):
-    return req.content_type_guard(requests(spark, d)).select("req_id", "reject")
+    rows = requests(spark, d, only=("req_id", "method", "path", "content_type"))
+    return req.content_type_guard(rows).select("req_id", "reject")
 
 
 @query
@@ -358,12 +360,12 @@ def dashboard_bundle(spark, d):
 
 @query
 def usage_daily(spark, d):
-    return usage.usage_daily(requests(spark, d)).withColumn("date", F.col("date").cast("string"))
+    return usage.usage_daily(requests(spark, d, only=("user_id", "ts"))).withColumn("date", F.col("date").cast("string"))
 
 
 @query
 def quota_check(spark, d):
-    return usage.quota_check(requests(spark, d), users(spark, d)).select(
+    return usage.quota_check(requests(spark, d, only=("req_id", "user_id", "ts")), users(spark, d)).select(
         "req_id", "user_id", "plan", "usage_count", "daily_scans", "allowed")
 
 

@@ -338,13 +338,14 @@ def with_views(sql: str, dialect: str, extra: dict[str, str] | None = None) -> s
     return sql
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A derived view over the parquet tables in ``folder``."""
+def view(spark: SparkSession, folder: str, name: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """A derived view over the parquet tables in ``folder``, or some of its columns: then no other is read or built."""
     sql = with_views(f"SELECT * FROM {name}", "spark")
     used = [b for b in BASE if "{" + b + "}" in sql]
     wide = name in ("v_tree", "v_files", "v_texts", "v_snippets")
     tables = {b: spark.read.parquet(f"{folder}/{b}.parquet") for b in used}
-    return settled(spark.sql(sql, **{b: spread(t) if wide else t for b, t in tables.items()}))
+    df = spark.sql(sql, **{b: spread(t) if wide else t for b, t in tables.items()})
+    return settled(df.select(*only) if only else df)
 
 
 BOUND = ("content", "text", "description", "event_type", "res_id", "custom_id", "path", "query", "plan")

@@ -24,6 +24,12 @@ CASES = [
      "node_modules/@s/B": {"version": "3"}, "node_modules/l": {"link": True}}}), [("a", "2"), ("@s/b", "3")]),
     ("package-lock.json", json.dumps({"dependencies": {"a": {"version": "1", "dependencies": {"b": {"version": "2",
      "dependencies": {"c": {"version": "3"}}}}}, "d": {"version": "4"}}}), [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]),
+    ("package-lock.json", json.dumps({"dependencies": {"a": {"version": "1", "dependencies": ["x"]}, "d": {"version": "4"}}}), [("a", "1")]),
+    ("package-lock.json", json.dumps({"dependencies": {"a": {"dependencies": {"b": {"version": "2"}, "c": 7, "e": {"version": "5"}}},
+     "d": {"version": "4"}}}), [("b", "2")]),
+    ("package-lock.json", json.dumps({"dependencies": {"A": {"version": ""}, "b": {"version": "2", "dependencies": {}}, "c": {"version": 3}}}),
+     [("b", "2"), ("c", "3")]),
+    ("package-lock.json", json.dumps({"dependencies": "x"}), []),
     ("Pipfile.lock", json.dumps({"default": {"X": {"version": "==1.0"}, "y": {}}, "develop": {"z": {"version": "==2"}}}),
      [("x", "1.0"), ("z", "2")]),
     ("Pipfile", '[packages]\nA_b = "==1.5"\nstar = "*"\ntab = {version = "1"}\n\n[dev-packages]\nd = "~=2.0"\n[requires]\nq = "1"\n',
@@ -38,6 +44,17 @@ def test_parsers(spark, manifest, content, expected):
     assert parse(spark, manifest, content) == expected
 
 
+def test_deep_and_wide_locks(spark):
+    deep = {}
+    for i in reversed(range(60)):
+        deep = {f"n{i}": {"version": f"{i + 1}.0", "dependencies": deep} if deep else {"version": f"{i + 1}.0"}, f"z{i}": {"version": "9"}}
+    text = json.dumps({"lockfileVersion": 1, "dependencies": deep})
+    assert parse(spark, "package-lock.json", text) == [(f"n{i}", f"{i + 1}.0") for i in range(60)] + [(f"z{i}", "9") for i in reversed(range(60))]
+    wide = {f"p{i}": {"version": str(i + 1), "dependencies": {f"q{i}": {"version": "1"}}} for i in range(800)}
+    got = parse(spark, "package-lock.json", json.dumps({"dependencies": wide}))
+    assert got == [x for i in range(800) for x in ((f"p{i}", str(i + 1)), (f"q{i}", "1"))]
+
+
 def check(spark, pairs):
     deps = spark.createDataFrame([("r", n, v) for n, v in pairs], "repo string, name string, version string")
     return {(r.package, r.version): (r.cve, r.severity) for r in dep.dependency_findings(deps).collect()}
