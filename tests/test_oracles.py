@@ -64,7 +64,8 @@ def test_plans_keep_what_scale_needs(spark):
     for name in ("sort_findings", "scan_report", "advisory_match", "eol_match", "dependency_report", "plan_gate", "user_org_limits",
                  "quota_check", "rate_limit_batch", "recent_scans", "dashboard_bundle"):
         text = plan(QUERIES[name](spark, FOLDER))
-        assert "ExistingRDD" not in text, name
+        # The sorted requests are a checkpoint; that is the only other scan.
+        assert text.count("ExistingRDD") == (1 if name == "rate_limit_batch" else 0), name
         for key in ("rule_ord", "_lp", "name", "bucket"):
             assert f"hashpartitioning({key}#" not in text, (name, key)
     scores = plan(QUERIES["analyze_report"](spark, FOLDER))
