@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cvss_severity
 from ..rules.plan_limits import CVE_QUERY_MAX_CHARS, CVE_QUERY_MIN_CHARS, EPSS_EXPLOIT_THRESHOLD
+from ..session import keep_result
 from .sliced import first_rows
 
 WORDS = r"[^\p{L}\p{N}]+"
@@ -15,6 +16,7 @@ WORDS = r"[^\p{L}\p{N}]+"
 #: Score lists of a record, in precedence order.
 METRICS = ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2")
 DESCRIPTION_CHARS = 500
+V1_DESCRIPTION_CHARS = 300
 
 
 def _first_metric(metrics=METRICS) -> Column:
@@ -73,27 +75,26 @@ def _words(col: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(col), WORDS)), lambda w: w != "")
 
 
-def _longest(words: Column) -> Column:
-    return F.array_max(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-
-
 def finding_cve_lookup(findings: DataFrame, cves: DataFrame, order, key: str = "text_id", k: int = 5) -> DataFrame:
     """For the first ``k`` findings of each text without a CVE: the newest CVE with all words of the title.
 
-    Distinct titles meet the CVEs on their longest word only (an equi-join);
-    the other words are then checked in place.
+    The findings asked about and the words of each description are computed
+    once and kept as tables.  Distinct titles meet the CVEs on the rarest of
+    their words (an equi-join); the other words are then checked in place.
     """
-    asked = first_rows(findings, [key], order, k).filter(
-        F.coalesce(F.col("title") != "", F.lit(False)) & F.coalesce(F.col("cve") == "N/A", F.lit(True)))
-    titles = asked.select("title").distinct().withColumn("_words", _words(F.col("title"))).withColumn(
-        "_anchor", _longest(F.col("_words"))).filter(F.col("_anchor").isNotNull())
-    # Only (id, word) pairs are multiplied; the descriptions come back for the few that meet.
-    pairs = cves.select("id", F.explode(_words(F.col("description"))).alias("_anchor")).join(titles, "_anchor")
-    known = cves.select("id", "published", "cvss_score", _words(F.col("description")).alias("_have"))
+    asked = keep_result(first_rows(findings, [key], order, k).filter(
+        F.coalesce(F.col("title") != "", F.lit(False)) & F.coalesce(F.col("cve") == "N/A", F.lit(True))))
+    known = keep_result(cves.select("id", "published", "cvss_score", _words(F.col("description")).alias("_have")))
+    titles = asked.select("title").distinct().select("title", _words(F.col("title")).alias("_words"))
+    wanted = titles.select("title", "_words", F.explode("_words").alias("_word"))
+    spread_out = known.select("id", "published", "cvss_score", "_have", F.explode("_have").alias("_word"))
+    often = spread_out.select("_word").join(wanted.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(
+        F.count(F.lit(1)).alias("_n"))
+    # A word that no description holds is the rarest: it meets nothing.
+    rarest = wanted.join(often, "_word", "left").groupBy("title", "_words").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("w"))).alias("_a")).select("title", "_words", F.col("_a.w").alias("_word"))
     newest = F.struct(F.col("published"), F.col("id"))
-    best = (pairs.join(known, "id").filter(F.size(F.array_except("_words", "_have")) == 0)
+    best = (spread_out.join(rarest, "_word").filter(F.size(F.array_except("_words", "_have")) == 0)
             .groupBy("title").agg(F.max_by(F.struct("id", "cvss_score"), newest).alias("_b")))
     return asked.join(best, "title", "left").select(
         *findings.columns, F.col("_b.id").alias("top_cve"), F.col("_b.cvss_score").alias("top_cvss"))
-
-

@@ -534,6 +534,12 @@ RAW: dict[str, str] = {
     "epss_enrich": f"SELECT c.id, severity, {EPSS} FROM o_cve c LEFT JOIN v_epss e ON c.id = e.cve",
     "cve_keyword_search": """SELECT id, published, severity FROM o_cve WHERE description ILIKE '%sql injection%'
         ORDER BY published DESC, id LIMIT 5""",
+    "cve_search_v1": """SELECT id, left(description, 300) AS description, v31 AS cvss FROM o_cve WHERE description ILIKE '%sql injection%'
+        ORDER BY published DESC, id LIMIT 3""",
+    "cve_search_many": """SELECT query, rank, id, left(description, 300) AS description, v31 AS cvss FROM (
+        SELECT query, c.*, row_number() OVER (PARTITION BY query ORDER BY published DESC, id) AS rank FROM (
+        SELECT DISTINCT unnest([p_name, ' ' || upper(p_brand), split_part(p_brand, '#', 2), left(p_name, 2), p_name || ' ' || p_brand]) AS query
+        FROM part) q JOIN o_cve c ON contains(lower(c.description), lower(trim(query))) WHERE length(trim(query)) >= 2) WHERE rank <= 3""",
     "cve_report": f"SELECT c.*, {EPSS} FROM ({CVE_FLAT}) c LEFT JOIN v_epss e ON c.id = e.cve",
     "llm_reply_parse": f"""SELECT reply_id, CASE WHEN has THEN array_to_string({{dash}}(a), chr(10)) ELSE trim(content, {WS}) END
         AS explanation, CASE WHEN has THEN array_to_string({{dash}}(b), ' | ') ELSE '' END AS fixes FROM (SELECT *,

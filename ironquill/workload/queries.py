@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import billing, cve, guards, reports, scoring, secrets, usage
+from ..operators import billing, cve, cve_index, guards, reports, scoring, secrets, usage
 from ..operators import dependencies as dep
 from ..operators import requests as req
 from ..operators.enrich import auto_fix, compliance_map
@@ -624,6 +624,27 @@ def cve_keyword_search(spark, d):
         "id", "published", "severity")
 
 
+def _cve_index(spark, d):
+    path = scratch_folder(spark)
+    cve_index.write_cve_index(cve.cve_flatten(cves_raw(spark, d), None, cve.METRICS[:1]), path)
+    return path
+
+
+@query
+def cve_search_v1(spark, d):
+    """The older search, through the stored index."""
+    return cve_index.v1_result(cve_index.search_cve_index(spark, _cve_index(spark, d), " SQL Injection ")).select("id", "description", "cvss")
+
+
+@query
+def cve_search_many(spark, d):
+    """Every part's name, brand and brand number, and each two letters that begin a name, searched at once."""
+    parts = src_tables(spark, d, "part")
+    asked = parts.select(F.explode(F.array("p_name", F.concat(F.lit(" "), F.upper("p_brand")), F.substring_index("p_brand", "#", -1),
+                                           F.substring("p_name", 1, 2), F.concat("p_name", F.lit(" "), "p_brand"))).alias("query"))
+    return cve_index.v1_result(cve_index.search_cves(_cve_index(spark, d), asked))
+
+
 @query
 def finding_cve_lookup(spark, d):
     known = cve.cve_flatten(cves_raw(spark, d), None, cve.METRICS[:1])
@@ -781,6 +802,7 @@ _WIDE = {
     "html_escape": ("chars_without_quote",),
     "stream_secret_scan": ("line", "match_pos",),
     "stream_audit_append": ("metadata_chars",),
+    "cve_search_many": ("rank",),
 }
 
 
