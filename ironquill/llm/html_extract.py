@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html as entities
 import random
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +27,7 @@ LAYOUTS = 4
 _EPOCHS, _RATE, _RIDGE = 8, 0.3, 1e-4
 _ARTICLE = frozenset(("article", "main"))
 _OTHER = frozenset("nav aside footer header form".split())
-#: Words in class names and ids, by what they mean.
-_HINTS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar tabs pagination pager skip",
-    "head": "header masthead banner logo branding hero",
-    "foot": "footer foot colophon copyright legal bottom",
-    "side": "sidebar side aside widget widgets rail related recommended popular trending more",
-    "note": "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup warning gdpr message toast",
-    "advert": "ad ads advert advertisement advertising sponsor sponsored promo promotion promoted adsense",
-    "form": "form search login signin register input field contact",
-    "talk": "comment comments reply replies discussion disqus respond reader readers thread feedback",
-    "share": "share social sharing follow tags tag meta byline author date",
-    "text": "article content post entry story body main text page maincontent articlebody prose copy",
-}
-_MEANING = {w: k for k, ws in _HINTS.items() for w in ws.split()}
-_SPLIT = re.compile(r"[^a-z]+")
+_ASIDE = frozenset("advert note talk form side menu".split())
 
 
 def _bucket(n: int, steps: tuple[int, ...]) -> int:
@@ -53,13 +38,11 @@ def describe(blocks: list[Block]) -> list[list[str]]:
     """Features of each block."""
     out = []
     for n, b in enumerate(blocks):
-        tags = [t for t, _ in b.path if t not in ("html", "body")]
-        found = {f"tag={tags[-1] if tags else ''}", f"words={_bucket(len(b.words), (2, 4, 8, 15, 30, 60))}", "bias"}
-        found |= {f"in={t}" for t in tags}
-        hints = [m for _, names in b.path for w in _SPLIT.split(names) if w and (m := _MEANING.get(w) or _MEANING.get(w.rstrip("s")))]
-        found |= {f"hint={m}" for m in hints}
-        if hints:
-            found.add(f"nearest={hints[-1]}")
+        found = {f"tag={b.above.nearest_tag}", f"words={_bucket(len(b.words), (2, 4, 8, 15, 30, 60))}", "bias"}
+        found |= {f"in={t}" for t in b.above.tags}
+        found |= {f"hint={m}" for m in b.above.hints}
+        if b.above.hints:
+            found.add(f"nearest={b.above.nearest_hint}")
         share = b.linked / max(1, len(b.text))
         found.add(f"linked={_bucket(int(share * 10), (1, 4, 8))}")
         found.add(f"end={'stop' if b.text[-1] in '.!?…\"”»' else 'open'}")
@@ -141,12 +124,10 @@ def train(pages: list[list[Block]], seed: int = 7) -> Field:
 
 def marked(blocks: list[Block]) -> list[Block] | None:
     """The blocks labelled by what the markup says, if it names an article."""
-    if not any(t in _ARTICLE for b in blocks for t, _ in b.path):
+    if not any(b.above.tags & _ARTICLE for b in blocks):
         return None
     for b in blocks:
-        tags = [t for t, _ in b.path]
-        names = {_MEANING.get(w) for _, ns in b.path for w in _SPLIT.split(ns)} & {"advert", "note", "talk", "form", "side", "menu"}
-        b.label = int(any(t in _ARTICLE for t in tags) and not any(t in _OTHER for t in tags) and not names)
+        b.label = int(bool(b.above.tags & _ARTICLE) and not b.above.tags & _OTHER and not b.above.hints & _ASIDE)
     return blocks
 
 

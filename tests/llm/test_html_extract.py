@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -36,6 +37,62 @@ def test_blocks():
     assert [b.text for b in leaf_blocks("<p>unclosed <a href='x'>link")] == ["unclosed link"]
 
 
+def texts(html):
+    return [b.text for b in leaf_blocks(html)]
+
+
+def test_omitted_tags_lose_no_text():
+    assert texts("<html><head><title>t</title><body><article><p>Hello world.") == ["Hello world."]
+    assert texts("<head><meta charset=x><title>t</title><style>p{}</style><p>Hello") == ["Hello"]
+    assert texts("<head><title>t</title> \n Hello <i>there</i>") == ["Hello there"]
+    assert texts("<head><noscript><img src=x><p>no</noscript><title>t</title></head>Hello") == ["Hello"]
+    assert texts("<body><button>Menu<article><p>Hello.") == ["Hello."] == texts("<select><option>a<option>b<p>Hello.")
+    assert texts("<p>Let <math><mi>x</mi></math> be <object>an</object> <video>odd</video> <svg><text>one</text></svg>") == ["Let x be an odd one"]
+    assert texts("<p>a</x></p>b</head>c<div>d</i></div>e") == ["a", "bc", "d", "e"]
+    assert texts("<div>a<button>b</div>c<p>d<button>e<div>f</div></button>g</p>h<noscript><div>i</div></noscript>j") == ["a", "c", "dg", "hj"]
+    assert texts("<form><label>l</label><button>Go <b>on</b></button><textarea>t<p>u</textarea> v</form>w") == ["l v", "w"]
+
+
+def test_blocks_against_an_element_tree():
+    """Well-formed trees: a block is the text between two boundaries of block elements, without that of silent ones."""
+    rng = random.Random(11)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randrange(4)):
+            kind = rng.random()
+            if kind < 0.4 or depth > 6:
+                out.append(rng.choice(["one", "two &amp; ", " three ", "\n"]))
+            else:
+                tag = rng.choice(["div", "section", "blockquote", "span", "i", "math", "x-y", "script", "noscript", "textarea"])
+                out.append((tag, ["js"] if tag == "script" else tree(depth + 1)))
+        return out
+
+    def written(nodes):
+        return "".join(n if isinstance(n, str) else f"<{n[0]} class=c>{written(n[1])}</{n[0]}>" for n in nodes)
+
+    def plain(nodes, silent=False):
+        for n in nodes:
+            if isinstance(n, str):
+                yield "" if silent else n.replace("&amp;", "&")
+            else:
+                edge = "\0" if not silent and n[0] in ("div", "section", "blockquote") else ""
+                yield edge
+                yield from plain(n[1], silent or n[0] in ("script", "noscript", "textarea"))
+                yield edge
+
+    for _ in range(300):
+        nodes = tree(0)
+        assert texts(written(nodes)) == [t for x in "".join(plain(nodes)).split("\0") if (t := " ".join(x.split()))]
+
+
+def test_depth_costs_no_square():
+    start = time.perf_counter()
+    blocks = leaf_blocks('<div class="a b"><p>x' * 10_000 + "<span>" * 10_000 + "<p>y</q>" * 10_000)
+    assert len(H.describe(blocks)) == 20_000 and time.perf_counter() - start < 5
+    assert len({id(s) for b in blocks for s in (b.above.tags, b.above.hints)}) < 10  # shared, not copied
+
+
 def test_viterbi_is_the_best_labelling(field):
     rng = random.Random(2)
     names = sorted(field.index)
