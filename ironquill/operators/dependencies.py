@@ -117,11 +117,16 @@ def _is_eol() -> Column:
     return F.slice(F.col("_v"), F.lit(1), F.size("prefix")) <= known
 
 
+def found_advisories(known: DataFrame) -> DataFrame:
+    """Findings of packages that have their ``advisories`` beside them, in precedence order."""
+    keep = [c for c in _keep(known) if c != "advisories"]
+    return (_pinned(known).select(*keep, _cve_struct().alias("_f"))
+            .filter(F.col("_f").isNotNull()).select(*keep, "_f.*"))
+
+
 def advisory_match(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """First advisory whose last vulnerable version is not below the package's."""
-    keep = _keep(deps)
-    return (_pinned(deps).join(advisories, "name").select(*keep, _cve_struct().alias("_f"))
-            .filter(F.col("_f").isNotNull()).select(*keep, "_f.*"))
+    return found_advisories(deps.join(advisories, "name").select(*deps.columns, "advisories"))
 
 
 def eol_match(deps: DataFrame, eol: DataFrame, cve_findings: DataFrame) -> DataFrame:

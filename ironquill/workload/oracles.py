@@ -180,12 +180,12 @@ HELP: dict[str, str] = {
 }
 
 
-def _cve_findings(source: str) -> str:
+def _cve_findings(source: str, known: str = "o_adv") -> str:
     return f"""SELECT repo, 'Vulnerable Dependency' AS title, 'Vulnerable Dependency' AS type,
         'Dependency Vulnerability' AS category, d.name AS package, d.version, severity,
         description || ' Affects versions <= ' || max_version || '.' AS description,
         'Upgrade ' || d.name || ' to a version newer than ' || max_version || '.' AS fix, cve,
-        d.name || '==' || d.version AS match FROM {source} d JOIN o_adv a ON d.name = a.name AND d.version <> ''
+        d.name || '==' || d.version AS match FROM {source} d JOIN {known} a ON d.name = a.name AND d.version <> ''
         AND {VERSION.format('d.version')} <= {VERSION.format('a.max_version')}
         QUALIFY row_number() OVER (PARTITION BY repo, d.name ORDER BY a.ord) = 1"""
 
@@ -201,6 +201,7 @@ def _eol_findings(source: str, cves: str) -> str:
 
 
 HELP["o_dep_cves"] = _cve_findings("o_deps")
+HELP["o_many_cves"] = _cve_findings("o_deps", "v_advisories")
 HELP["o_dep_eol"] = _eol_findings("o_deps", "o_dep_cves")
 HELP["o_dep_found"] = "SELECT * FROM o_dep_cves UNION ALL SELECT * FROM o_dep_eol"
 HELP["o_pdep_cves"] = _cve_findings("o_parsed_deps")
@@ -464,6 +465,7 @@ RAW: dict[str, str] = {
     "dependency_count": "SELECT repo, count(DISTINCT name) AS dependency_count FROM v_declared GROUP BY 1",
     "distinct_deps": "SELECT repo, name FROM v_declared UNION SELECT repo, name FROM o_parsed",
     "advisory_match": "SELECT * FROM o_dep_cves",
+    "advisory_match_many": "SELECT * FROM o_many_cves",
     "eol_match": "SELECT * FROM o_dep_eol",
     "version_parse": f"""SELECT repo, name, version, array_to_string({VERSION.format('version')}, ' | ') AS parts
         FROM v_declared""",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import billing, cve, cve_index, guards, reports, scoring, secrets, usage
+from ..operators import advisory_sweep, billing, cve, cve_index, guards, reports, scoring, secrets, usage
 from ..operators import dependencies as dep
 from ..operators import requests as req
 from ..operators.enrich import auto_fix, compliance_map
@@ -459,6 +459,12 @@ def advisory_match(spark, d):
     return _dep_columns(dep.advisory_match(deps(spark, d), dep.advisories_table(spark)))
 
 
+@query
+def advisory_match_many(spark, d):
+    """Packages against a large advisory table, a third of which names one package."""
+    return _dep_columns(advisory_sweep.advisory_match_many(deps(spark, d), view(spark, d, "v_advisories")))
+
+
 @query
 def eol_match(spark, d):
     packages = deps(spark, d)

@@ -13,7 +13,7 @@ from ironquill.workload.views import BASE
 
 FOLDER = os.environ.get("IRONQUILL_DATA", "/root/testdata/sf0.001")
 DEFAULT = ("literal_rule_match", "entropy_secrets", "analyze_report", "secret_match", "scan_report", "dependency_report",
-           "security_trend", "quota_check", "rate_limit_batch", "subscription_state", "cve_report", "finding_cve_lookup", "cve_search_v1", "cve_search_many",
+           "security_trend", "quota_check", "rate_limit_batch", "subscription_state", "cve_report", "finding_cve_lookup", "cve_search_v1", "cve_search_many", "advisory_match_many",
            "dashboard_bundle", "trial_status", "finding_summary_text", "stream_rate_limit")
 duckdb = pytest.importorskip("duckdb")
 
