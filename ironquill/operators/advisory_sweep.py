@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number_key, version_parse
-from ..session import checkpointed
+from ..session import checkpointed, keep_result
 from .dependencies import found_advisories
 
 KNOWN = ("max_version", "severity", "cve", "description")
@@ -27,8 +27,8 @@ def first_advisories(asked: DataFrame, advisories: DataFrame) -> DataFrame:
     of equal ords the smaller text comes first.
     """
     first = F.struct("ord", F.struct(version_parse(F.col("max_version")).alias("max_v"), *KNOWN).alias("a")).alias("_first")
-    # Of advisories with one bound, only the first in order can ever be the answer.
-    bounds = (advisories.filter("name is not null and ord is not null and max_version is not null")
+    # Of advisories with one bound, only the first in order can ever be the answer. Read twice, so kept.
+    bounds = keep_result(advisories.filter("name is not null and ord is not null and max_version is not null")
               .select("name", version_parse(F.col("max_version")).alias("_v"), first)
               .groupBy("name", "_v").agg(F.min("_first").alias("_first")).withColumn("version", F.lit(None).cast("string")))
     wanted = asked.select("name", "version").filter("name is not null and version <> ''").distinct().withColumn("_v", version_parse(F.col("version")))

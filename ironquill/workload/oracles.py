@@ -201,7 +201,7 @@ def _eol_findings(source: str, cves: str) -> str:
 
 
 HELP["o_dep_cves"] = _cve_findings("o_deps")
-HELP["o_many_cves"] = _cve_findings("o_deps", "v_advisories")
+HELP["o_many_cves"] = _cve_findings("o_deps", "(SELECT *, detail AS description FROM v_advisories)")
 HELP["o_dep_eol"] = _eol_findings("o_deps", "o_dep_cves")
 HELP["o_dep_found"] = "SELECT * FROM o_dep_cves UNION ALL SELECT * FROM o_dep_eol"
 HELP["o_pdep_cves"] = _cve_findings("o_parsed_deps")

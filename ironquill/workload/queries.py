@@ -462,7 +462,7 @@ def advisory_match(spark, d):
 @query
 def advisory_match_many(spark, d):
     """Packages against a large advisory table, a third of which names one package."""
-    return _dep_columns(advisory_sweep.advisory_match_many(deps(spark, d), view(spark, d, "v_advisories")))
+    return _dep_columns(advisory_sweep.advisory_match_many(deps(spark, d), view(spark, d, "v_advisories").withColumnRenamed("detail", "description")))
 
 
 @query

@@ -168,7 +168,7 @@ VIEWS: dict[str, str] = {
         SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'lodash' WHEN o_orderkey % 3 = 1 THEN n1 ELSE concat('pkg-', cast(o_custkey AS string)) END AS name,
                o_orderkey AS ord, concat(cast(o_orderkey % 6 AS string), '.', cast((o_custkey + ver_step) % 40 AS string), '.',
                cast(o_orderkey % 31 AS string)) AS max_version, CASE o_custkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'CRITICAL' END
-               AS severity, concat('CVE-30', cast(o_custkey % 90 AS string), '-', cast(o_orderkey AS string)) AS cve, 'Known flaw.' AS description
+               AS severity, concat('CVE-30', cast(o_custkey % 90 AS string), '-', cast(o_orderkey AS string)) AS cve, 'Known flaw.' AS detail
         FROM (SELECT *, o_orderkey % 17 AS ver_step FROM {orders}) o JOIN v_part ON k = o_custkey""",
     "v_members": """
         SELECT concat('zip-', cast(l_orderkey % 40 AS string)) AS archive,
