@@ -28,8 +28,9 @@ _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCK | {"br", "title", "head"})) + r")\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<(a|area|link|img|iframe|script|source)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile("</title", re.I)
+_LINKING = re.compile(r"<(a|area|link|img|iframe|script|source)\b", re.I)
+_ADDRESS = re.compile(r"""\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 RESPONSE = "record_id string, target_uri string, date string, http_headers string, payload binary"
 DERIVED = ("record_id string, type string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, "
            "content_length long, block_digest string, source_digest string, headers string, block string")
@@ -43,18 +44,40 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, chr(31).join(parts))}>"
 
 
+def _without(tags: re.Pattern[str], by: str, page: str) -> str:
+    """The page with each of these tags replaced; no tag ends behind the last ``>``, so none is looked for there."""
+    end = page.rfind(">") + 1
+    return tags.sub(by, page[:end]) + page[end:]
+
+
 def plain_text(page: str) -> str:
     """Visible text, one line for each block."""
-    page = _TAG.sub("", _BREAK.sub("\n", _SILENT.sub(" ", page)))
+    page = _without(_TAG, "", _without(_BREAK, "\n", _SILENT.sub(" ", page)))
     lines = (" ".join(x.split()) for x in entities.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def _links(page: str) -> Iterator[tuple[str, str, str]]:
+    """Element, attribute and address of each link: one pass over elements and one over addresses, side by side."""
+    address = _ADDRESS.search(page)
+    element = _LINKING.search(page)
+    while element and address:
+        if address.start() < element.end():
+            address = _ADDRESS.search(page, element.end())
+            continue
+        close = page.find(">", element.end())
+        if close < 0 or address.start() < close:
+            yield element[1].lower(), address[1].lower(), next((g for g in address.groups()[1:] if g), "")
+            close = address.end()
+        element = _LINKING.search(page, close)
+
+
 def page_facts(page: str) -> dict:
     """Title and links, in page order."""
-    title = _TITLE.search(page)
-    links = [{"path": f"{m[1].lower()}@{m[2].lower()}", "url": entities.unescape(m[3] or m[4] or m[5] or "")} for m in _LINK.finditer(page)]
-    return {"title": " ".join(entities.unescape(title[1]).split()) if title else None, "links": links}
+    opened = _TITLE.search(page, 0, page.rfind(">") + 1)
+    closed = opened and _TITLE_END.search(page, opened.end())
+    title = " ".join(entities.unescape(page[opened.end() : closed.start()]).split()) if opened and closed else None
+    return {"title": title, "links": [{"path": f"{tag}@{name}", "url": entities.unescape(url)} for tag, name, url in _links(page)]}
 
 
 def header_fields(block: str) -> dict[str, list[str]]:

@@ -1,5 +1,9 @@
 import gzip
+import html
 import json
+import random
+import re
+import time
 
 from ironquill.llm import warc as W
 
@@ -72,3 +76,28 @@ def test_bad_records_are_rejects(spark, tmp_path):
 
 def test_empty_table(spark):
     assert W.derivatives(W.responses_of_pages(pages(spark).limit(0))).count() == 0
+
+
+def test_tags_and_links_against_plain_patterns():
+    """The linear scanners find what one pattern over the whole page does, broken markup included."""
+    link = re.compile(r"""<(a|area|link|img|iframe|script|source)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+    title = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
+    rng = random.Random(4)
+    parts = ["<a ", "<A", "<img", "<area", "<abbr ", "href", "src", "=", " = ", '"', "'", ">", "<", "x", " ", "&amp;", "<title>", "<title", "</title", "</p>", "<p", "data-href=y", "href=z", "src='q>r'", 'href="u">']
+    for _ in range(20_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        facts = W.page_facts(page)
+        assert [(x["path"], x["url"]) for x in facts["links"]] == [
+            (f"{m[1].lower()}@{m[2].lower()}", html.unescape(m[3] or m[4] or m[5] or "")) for m in link.finditer(page)], page
+        want = title.search(page)
+        assert facts["title"] == (" ".join(html.unescape(want[1]).split()) if want else None), page
+        assert W._without(W._TAG, "", page) == W._TAG.sub("", page) and W._without(W._BREAK, "\n", page) == W._BREAK.sub("\n", page)
+
+
+def test_long_runs_of_open_tags_take_linear_time():
+    start = time.perf_counter()
+    for run in ("<a ", "<a href ", "<p ", "<title>", "<title ", "href=x ", "<a x='", "</"):
+        page = run * (1_000_000 // len(run))
+        W.page_facts(page)
+        W.plain_text(page)
+    assert time.perf_counter() - start < 30
