@@ -7,6 +7,9 @@ no others.  Runs that many descriptions hold are split over files by id.
 
 A search intersects the postings of its rarest runs and verifies the whole
 query in the whole descriptions that are left: the result is the scan's.
+
+Many searches at once look among the newest CVEs first; a query that finds
+enough there is settled, and only the others go on to all postings.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..rules.plan_limits import CVE_QUERY_MAX_CHARS, CVE_QUERY_MIN_CHARS
+from ..session import keep_result, spread
 from .cve import DESCRIPTION_CHARS, V1_DESCRIPTION_CHARS, clean_query
 from .sliced import first_rows
 
@@ -23,6 +27,10 @@ RUN = 3
 BUCKETS = 64
 #: Postings that a search intersects; the others of its runs are left to verification.
 INTERSECTED = 3
+#: Files over which a bucket's postings are dealt by id.
+PARTS = 8
+#: About so many of the newest CVEs are searched before all are, where there are more than ``AHEAD_X`` times as many.
+AHEAD, AHEAD_X, CUT_SAMPLE = (4_096, 65_536, 1_048_576), 4, 4_096
 
 
 def _runs(folded: Column) -> Column:
@@ -43,11 +51,12 @@ def write_cve_index(cves: DataFrame, path: str) -> None:
     cves.write.parquet(f"{path}/cves")
     spark = cves.sparkSession
     stored = spark.read.schema(cves.schema).parquet(f"{path}/cves")
-    runs = stored.select("id", F.explode(_runs(F.lower("description"))).alias("run")).select(_bucket(F.col("run")).alias("bucket"), "run", "id")
-    (runs.repartitionByRange("bucket", "run", "id").sortWithinPartitions("bucket", "run", "id")
+    runs = spread(stored).select("id", F.explode(_runs(F.lower("description"))).alias("run")).select(_bucket(F.col("run")).alias("bucket"), "run", "id")
+    # Dealt by hash: ranges would be chosen by a first pass over all runs.
+    (runs.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "run", "id")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     lengths = _postings(spark, path).groupBy("bucket", "run").agg(F.count(F.lit(1)).alias("n"))
-    (lengths.repartitionByRange("bucket", "run").sortWithinPartitions("bucket", "run")
+    (lengths.repartition("bucket").sortWithinPartitions("bucket", "run")
      .write.partitionBy("bucket").parquet(f"{path}/lengths"))
 
 
@@ -87,11 +96,36 @@ def search_cve_index(spark: SparkSession, path: str, query: str | None, k: int =
     return found.filter(F.contains(F.lower("description"), F.lit(q))).orderBy(F.col("published").desc(), "id").limit(k)
 
 
-def search_cves(index: str, queries: DataFrame, k: int = 3, query: str = "query") -> DataFrame:
+def _cut(cves: DataFrame, newest: int):
+    """``published`` and ``id`` of a CVE that about ``newest`` others precede, newest first; a hashed sample sets it."""
+    every = max(1, newest // CUT_SAMPLE)
+    some = cves.select("published", "id").filter(
+        F.col("published").isNotNull() & F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
+    return some.orderBy(F.col("published").desc(), "id").limit(max(1, newest // every)).orderBy("published", F.col("id").desc()).first()
+
+
+def _not_after(cut) -> Column:
+    """Rows up to the cut in the order of results: newest first, then by id, null ids before others."""
+    return F.coalesce((F.col("published") > cut["published"]) | (
+        (F.col("published") == cut["published"]) & (F.col("id").isNull() | (F.col("id") <= cut["id"]))), F.lit(False))
+
+
+def _verified(wanted: DataFrame, postings: DataFrame, cves: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` newest of ``cves`` per query of ``wanted`` (``_q``, ``_need`` runs, ``run``), from postings that hold the runs."""
+    met = (wanted.join(postings, keys).groupBy("_q", "_need", "id").agg(F.count_distinct("run").alias("_n"))
+           .filter(F.col("_n") >= F.col("_need")).select("_q", "id"))
+    found = met.join(cves.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).filter(
+        F.contains(F.lower("description"), F.col("_q"))).drop("_id")
+    return first_rows(found, ["_q"], [F.col("published").desc(), "id"], k).select("_q", "rank", *cves.columns)
+
+
+def search_cves(index: str, queries: DataFrame, k: int = 3, query: str = "query", ahead=AHEAD) -> DataFrame:
     """For every distinct query: its ``k`` newest CVEs, with their ``rank``; all columns of the stored CVEs.
 
     Each query is cut and folded as a single search does; null and short ones
-    find nothing.  A query meets only the postings of its rarest runs.
+    find nothing.  A query meets only the postings of its rarest runs: first
+    those of the newest CVEs, in sets of about ``ahead`` rows, and those of all
+    CVEs if fewer than ``k`` are found there.
     """
     spark = queries.sparkSession
     cut = F.substring(strip(F.col(query)), 1, CVE_QUERY_MAX_CHARS)
@@ -110,13 +144,25 @@ def search_cves(index: str, queries: DataFrame, k: int = 3, query: str = "query"
              .join(lengths.select("bucket", "run", F.substring("run", 1, RUN - 1).alias("_two")).alias("l"),
                    (F.col("a.bucket") == F.col("l.bucket")) & (F.col("_q") == F.col("_two")))
              .select("_q", F.lit(1).alias("_need"), "run"))
-    wanted = rare.unionByName(pairs).withColumn("bucket", _bucket(F.col("run")))
-    met = (wanted.join(postings, ["bucket", "run"]).groupBy("_q", "_need", "id").agg(F.count_distinct("run").alias("_n"))
-           .filter(F.col("_n") >= F.col("_need")).select("_q", "id"))
     cves = _cves(spark, index)
-    full = cves.withColumnRenamed("id", "_id")
-    found = met.join(full, F.col("id").eqNullSafe(F.col("_id"))).filter(F.contains(F.lower("description"), F.col("_q"))).drop("_id")
-    best = first_rows(found, ["_q"], [F.col("published").desc(), "id"], k)
+    total = cves.count()
+    ahead = [n for n in ahead if n * AHEAD_X < total]
+    wanted = rare.unionByName(pairs).withColumn("bucket", _bucket(F.col("run")))
+    wanted, settled = (keep_result(wanted) if ahead else wanted), []
+    for n in ahead:
+        if (cut := _cut(cves, n)) is None:
+            continue
+        newest = spread(cves.filter(_not_after(cut)))
+        held = newest.select("id", F.explode(_runs(F.lower("description"))).alias("run"))
+        found = keep_result(_verified(wanted, held, newest, ["run"], k))
+        enough = found.filter(F.col("rank") == k).select("_q")
+        settled.append(found.join(enough, "_q", "left_semi"))
+        wanted = keep_result(wanted.join(enough, "_q", "left_anti"))
+        if wanted.isEmpty():
+            break
+    best = _verified(wanted, postings, cves, ["bucket", "run"], k)
+    for found in settled:
+        best = best.unionByName(found)
     return asked.join(best, "_q").select("query", "rank", *cves.columns)
 
 
