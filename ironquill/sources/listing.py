@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -53,6 +54,13 @@ class Store:
         with self.remote.open_input_stream(self.at(path)) as f:
             return f.read()
 
+    def remove(self, path: str) -> None:
+        """A directory with all that it holds."""
+        if self.remote is None:
+            shutil.rmtree(self.at(path))
+        else:
+            self.remote.delete_dir(self.at(path))
+
     def write(self, path: str, data: bytes) -> None:
         folder = self.at(path).rsplit("/", 1)[0]
         if self.remote is None:
@@ -65,20 +73,23 @@ class Store:
             f.write(data)
 
 
-class Subtree(InputPartition):
-    def __init__(self, number: int, repo: str, root: str, path: str, deep: bool):
-        self.number, self.repo, self.root, self.path, self.deep = number, repo, root, path, deep
+class Subtrees(InputPartition):
+    """What one task lists: repository, root, path, and whether all below or the directory's own files."""
+
+    def __init__(self, number: int, parts: list[tuple[str, str, str, bool]]):
+        self.number, self.parts = number, parts
 
 
 class CorpusReader(DataSourceReader):
     def __init__(self, roots: dict[str, str], skip: tuple[str, ...], subtrees: int, chunk_bytes: int):
         self.roots, self.skip, self.subtrees, self.chunk_bytes = roots, skip, subtrees, chunk_bytes
 
-    def partitions(self) -> list[Subtree]:
+    def partitions(self) -> list[Subtrees]:
         """Subtrees, and the files of the directories above them.
 
         The driver opens the uppermost directories until there are enough
-        subtrees; it opens at most twice as many.
+        subtrees; it opens at most twice as many.  One directory may hold any
+        number of others: they are dealt over so many tasks.
         """
         waiting, found, opened = sorted((repo, root, "") for repo, root in self.roots.items()), [], 0
         while waiting and len(waiting) < self.subtrees and opened < 2 * self.subtrees:
@@ -91,25 +102,28 @@ class CorpusReader(DataSourceReader):
             except OSError:
                 pass  # the task that lists it reports it
         found += [(*w, True) for w in waiting]
-        return [Subtree(n, *f) for n, f in enumerate(found)]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        store, waiting, size_before = Store(partition.root), [partition.path], 0
-        row = lambda path, is_link, size, error: (
-            partition.repo, partition.root, path, is_link, size, f"{partition.number}-{size_before // self.chunk_bytes}", error)
-        while waiting:
-            here = waiting.pop()
-            try:
-                for name, is_dir, is_link, size, error in store.entries(here):
-                    path = f"{here}/{name}" if here else name
-                    if is_dir:
-                        if partition.deep and name not in self.skip:
-                            waiting.append(path)
-                    else:
-                        yield row(path, is_link, size, error)
-                        size_before += size
-            except OSError as problem:
-                yield row(here, False, 0, f"{type(problem).__name__}: {problem.strerror}")
+        tasks = min(len(found), max(1, 2 * self.subtrees))
+        return [Subtrees(n, found[n::tasks]) for n in range(tasks)]
+
+    def read(self, partition: Subtrees | None) -> Iterator[tuple]:
+        stores, size_before = {}, 0
+        for repo, root, top, deep in partition.parts if partition else ():  # none: Spark asks all the same
+            store, waiting = stores.setdefault(root, Store(root)), [top]
+            row = lambda path, is_link, size, error: (
+                repo, root, path, is_link, size, f"{partition.number}-{size_before // self.chunk_bytes}", error)  # noqa: B023
+            while waiting:
+                here = waiting.pop()
+                try:
+                    for name, is_dir, is_link, size, error in store.entries(here):
+                        path = f"{here}/{name}" if here else name
+                        if is_dir:
+                            if deep and name not in self.skip:
+                                waiting.append(path)
+                        else:
+                            yield row(path, is_link, size, error)
+                            size_before += size
+                except OSError as problem:
+                    yield row(here, False, 0, f"{type(problem).__name__}: {problem.strerror}")
 
 
 class CorpusListing(DataSource):
