@@ -21,19 +21,20 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class Moves(StatefulProcessor):
-    """Per user: the subscription held.  Activations in, joins and leaves of subscriptions out."""
+    """Per user: the subscription held.  Activations in, joins and leaves of subscriptions out.
+
+    A row brings what is stored of its user (``stored``): that holds until the state knows better.
+    """
 
     SCHEMA = "subscription_id string, seq bigint, user_id string, joins boolean"
 
     def init(self, handle) -> None:
         self.held = handle.getValueState("held", "subscription_id string")
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.held.update((initialState["subscription_id"],))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = now = self.held.get()[0] if self.held.exists() else None
-        for r in sorted(rows, key=lambda r: r["seq"]):
+        rows = sorted(rows, key=lambda r: r["seq"])
+        before = now = self.held.get()[0] if self.held.exists() else next((r["stored"] for r in rows), None)
+        for r in rows:
             if r["subscription_id"] == now:
                 continue
             if now is not None:
@@ -58,22 +59,30 @@ class Answers(StatefulProcessor):
         self.holders.updateValue((initialState["user_id"],), (-1,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        holders = {k[0] for k in self.holders.keys()}
+        before = {k[0] for k in self.holders.keys()}
+        holders, since, first = set(before), {}, min(before, default=None)
         for r in sorted(rows, key=lambda r: r["seq"]):
             user = r["user_id"]
             if r["joins"] is None:
-                if holders:
-                    yield Row(user_id=min(holders), **{c: r[c] for c in self.FACTS})
+                if first is not None:
+                    yield Row(user_id=first, **{c: r[c] for c in self.FACTS})
             elif r["joins"]:
                 holders.add(user)
-                self.holders.updateValue((user,), (r["seq"],))
+                since[user] = r["seq"]
+                first = user if first is None else min(first, user)
             elif user in holders:
                 holders.remove(user)
-                self.holders.removeKey((user,))
+                if user == first:
+                    first = min(holders, default=None)
+        # The store is told once what the trigger has changed, not of each move.
+        for user in before - holders:
+            self.holders.removeKey((user,))
+        for user in holders & since.keys():
+            self.holders.updateValue((user,), (since[user],))
 
 
 class LastWrites(StatefulProcessor):
-    """Per user: each column's last write and its place.  Writes in any order in; the user as it stands out."""
+    """Per user: each column's last write and its place.  Writes in any order in; all that was written so far out."""
 
     def __init__(self, columns: tuple[str, ...]):
         self.columns = columns
@@ -85,9 +94,6 @@ class LastWrites(StatefulProcessor):
     def init(self, handle) -> None:
         self.stored = handle.getValueState("stored", "vals array<string>, seqs array<bigint>")
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.stored.update(([initialState[c] for c in self.columns], [-1] * len(self.columns)))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         n = len(self.columns)
         vals, seqs = map(list, self.stored.get()) if self.stored.exists() else ([None] * n, [-1] * n)

@@ -128,30 +128,51 @@ def stream_usage_upsert(requests: DataFrame, path: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _last_of_batch(columns):
+    """Writes -> per user of a batch, the rows with a column's last write or the last place: users with many events send few."""
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
+            kept = ~pdf["user_id"].duplicated(keep="last")
+            for c in columns:
+                written = pdf.index[pdf[c].notna()]
+                kept[written] |= ~pdf["user_id"][written].duplicated(keep="last")
+            yield pdf[kept]
+
+    return run
+
+
 def subscription_updates(events: DataFrame, users: DataFrame) -> DataFrame:
     """The users that payment events change, as they stand after each trigger: ``id, last_seq`` and the state's columns.
 
     Three kinds of state: the subscription that a user holds, the holders of a
-    subscription, and the last write of each of a user's columns.  All start
-    from ``users``.  Nothing else of the users is read or written again.
+    subscription, and the last write of each of a user's columns.  The state
+    has the holders that ``users`` names; what else is stored of a user is
+    joined to the events and results at hand, so that users without any are
+    never put into a state.
     """
     use_rocksdb(events.sparkSession)
     flat = event_keys(events).withColumn("ts", F.col("ts").cast("timestamp"))
     facts = list(Answers.FACTS)
-    ids = users.select(F.col("id").alias("user_id"))
+    ids = users.select(F.col("id").alias("user_id"), F.nullif("paypal_subscription_id", F.lit("")).alias("stored"))
     held = users.select(F.col("id").alias("user_id"), F.nullif("paypal_subscription_id", F.lit("")).alias("subscription_id")).filter(
         F.col("subscription_id").isNotNull())
-    direct = flat.filter("by_user").join(ids, F.col("ref_user") == F.col("user_id")).select("user_id", *facts)
-    grants = direct.filter(F.col("event_type").isin(EV_ACTIVATED, EV_CHECKOUT)).select("user_id", "seq", "subscription_id")
-    moves = grants.groupBy("user_id").transformWithState(Moves(), Moves.SCHEMA, "Append", "None", initialState=held.groupBy("user_id"))
+    direct = flat.filter("by_user").join(ids, F.col("ref_user") == F.col("user_id")).select("user_id", "stored", *facts)
+    grants = direct.filter(F.col("event_type").isin(EV_ACTIVATED, EV_CHECKOUT)).select("user_id", "seq", "subscription_id", "stored")
+    direct = direct.drop("stored")
+    moves = grants.groupBy("user_id").transformWithState(Moves(), Moves.SCHEMA, "Append", "None")
     lines = moves.unionByName(flat.filter(~F.col("by_user")).select(*facts), allowMissingColumns=True)
     answered = lines.groupBy("subscription_id").transformWithState(
         Answers(), Answers.SCHEMA, "Append", "None", initialState=held.groupBy("subscription_id"))
     writes = direct.unionByName(answered).select("user_id", "seq", *[v.cast("string").alias(c) for c, v in column_writes().items()])
-    stored = users.select(F.col("id").alias("user_id"), *[
-        (F.col(c) if c in users.columns else F.lit(None)).cast("string").alias(c) for c in STATE_COLUMNS])
+    writes = writes.mapInPandas(_last_of_batch(STATE_COLUMNS), writes.schema)
+    stored = users.select(F.col("id").alias("_id"), *[
+        (F.col(c) if c in users.columns else F.lit(None)).cast("string").alias(f"_s_{c}") for c in STATE_COLUMNS]).dropDuplicates(["_id"])
     last = LastWrites(STATE_COLUMNS)
-    return writes.groupBy("user_id").transformWithState(last, last.schema, "Append", "None", initialState=stored.groupBy("user_id"))
+    now = writes.groupBy("user_id").transformWithState(last, last.schema, "Append", "None")
+    # A write is never null: null is a column that no event has written.
+    return now.join(stored, F.col("id") == F.col("_id"), "left").select("id", "last_seq", *[
+        F.coalesce(c, f"_s_{c}").alias(c) for c in STATE_COLUMNS])
 
 
 def stream_subscription_state(events: DataFrame, users: DataFrame, path: str, checkpoint: str):
